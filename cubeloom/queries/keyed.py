@@ -202,10 +202,9 @@ def tet_vertices(spark, sf):
 def tet_face_neighbour_violations(spark, sf):
     """Faces whose neighbour's neighbour across the face it names is not the tetrahedron itself."""
     t = views.orders(spark, sf).select(keys.tet_type("x", "y", "z", 12).alias("type"), *((keys.cell_index(c, 12) * 512).alias(c) for c in "xyz")).distinct()
-    faces = None
-    for face in range(4):
-        n = t.withColumn("n", keys.tet_face_neighbour("x", "y", "z", F.lit(512), "type", face)).where("n IS NOT NULL")
-        faces = n if faces is None else faces.unionByName(n)
+    # the generator keeps the first step's expressions out of the second's
+    four = F.array(*(keys.tet_face_neighbour("x", "y", "z", F.lit(512), "type", face) for face in range(4)))
+    faces = t.withColumn("n", F.explode(four)).where("n IS NOT NULL")
     back = None
     for face in range(4):
         b = keys.tet_face_neighbour(F.col("n.x"), F.col("n.y"), F.col("n.z"), F.lit(512), F.col("n.type"), face)

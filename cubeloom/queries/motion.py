@@ -121,7 +121,7 @@ _FRESH = "CASE WHEN n > 100 THEN 'NEEDS_SPLIT' WHEN n > 90 THEN 'APPROACHING_SPL
 
 
 @add(
-    f"WITH RECURSIVE {_EV}, c AS (SELECT source AS region, ts_ms // {24 * HOUR} AS seq, CAST(40 + COUNT(*) + (ts_ms // {24 * HOUR}) * 37 % 50 AS BIGINT) AS n FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY seq) AS i FROM c), "
+    f"WITH RECURSIVE {_EV}, k AS (SELECT source AS region, ts_ms // {24 * HOUR} AS seq, COUNT(*) AS c FROM e GROUP BY 1, 2), c AS (SELECT region, seq, 40 + c + seq * 37 % 50 AS n FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY seq) AS i FROM c), "
     f"s(region, seq, n, i, state) AS (SELECT region, seq, n, i, {_FRESH} FROM r WHERE i = 1 UNION ALL SELECT r.region, r.seq, r.n, r.i, CASE WHEN s.state = 'NEEDS_SPLIT' AND r.n >= 90 THEN 'NEEDS_SPLIT' WHEN s.state = 'NEEDS_MERGE' AND r.n <= 66 THEN 'NEEDS_MERGE' ELSE {_FRESH.replace(' n ', ' r.n ')} END FROM s JOIN r ON r.region = s.region AND r.i = s.i + 1) SELECT region, seq, n, state FROM s"
 )
 def density_states(spark, sf):

@@ -15,7 +15,7 @@ from cubeloom.views import EVENTS, ORDERS, PARTS, VECTORS
 add = REGISTRY.add
 P = ("x", "y", "z")
 _Q = "q AS (SELECT v AS qv FROM ve WHERE id = 0)"
-_SUM = "list_sum(list_transform(list_zip(v, qv), p -> {}))"
+_SUM = "list_sum(list_transform(list_zip(v, qv), lambda p: {}))"
 
 
 def pairs(spark, sf):
@@ -146,6 +146,6 @@ def temporal_bounds(spark, sf):
     return views.parts(spark, sf).select("id", F.round(F.col("min_x") - F.col("half") * 3, 6).alias("min_x"), F.round(F.col("max_x") + F.col("half") * 3, 6).alias("max_x"), (F.col("id") % 10 < 3).alias("expired"))
 
 
-@add(f"WITH {EVENTS} SELECT id, bit_count(xor(id, user_id)) AS xor_bits, id & user_id AS both, id | user_id AS either, (id >> 2) & 15 AS slice FROM ev")
+@add(f"WITH {EVENTS} SELECT id, CAST(bit_count(xor(id, user_id)) AS BIGINT) AS xor_bits, id & user_id AS both, id | user_id AS either, (id >> 2) & 15 AS slice FROM ev")
 def bit_vectors(spark, sf):
-    return views.events(spark, sf).select("id", F.bit_count(F.col("id").bitwiseXOR(F.col("user_id"))).alias("xor_bits"), F.col("id").bitwiseAND(F.col("user_id")).alias("both"), F.col("id").bitwiseOR(F.col("user_id")).alias("either"), F.shiftright("id", 2).bitwiseAND(F.lit(15).cast("long")).alias("slice"))
+    return views.events(spark, sf).select("id", F.bit_count(F.col("id").bitwiseXOR(F.col("user_id"))).cast("long").alias("xor_bits"), F.col("id").bitwiseAND(F.col("user_id")).alias("both"), F.col("id").bitwiseOR(F.col("user_id")).alias("either"), F.shiftright("id", 2).bitwiseAND(F.lit(15).cast("long")).alias("slice"))

@@ -59,7 +59,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("kind"))
 
 
-VECTORS = "ve AS (SELECT vec_id AS id, list_transform(embedding, e -> CAST(e AS DOUBLE)) AS v, label AS kind FROM embeddings)"
+VECTORS = "ve AS (SELECT vec_id AS id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v, label AS kind FROM embeddings)"
 
 
 def sql_morton(x: str, y: str, z: str, bits: int = 21) -> str:
