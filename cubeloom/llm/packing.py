@@ -15,6 +15,7 @@ Null texts are empty; an empty text still has its end token. Repeated rows are p
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import materialize
+from cubeloom.llm._common import materialize, tidied
 
 END = 2
 _RUN = re.compile(r"\s\s|\s\Z")
@@ -34,13 +35,24 @@ class Encoder:
     """Ids of byte-level BPE as little-endian unsigned 32-bit bytes.
 
     In a text whose white space stands alone, a word with the blank before it is always encoded by itself, so such
-    words are kept (bounded in number); every other text is encoded whole."""
+    words are kept (bounded in number); every other text is encoded whole. With ranks_path, the same vocabulary as ranks
+    (and the pattern that parts words), new words take the shorter way through it; the ids are the same."""
 
-    def __init__(self, tokenizer_path: str, most_words: int = 400_000):
+    def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str = "", most_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.words = Tokenizer.from_file(tokenizer_path), most_words, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if not ranks_path:
+            self.ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            import base64
+
+            import tiktoken
+
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.ids = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -56,23 +68,28 @@ class Encoder:
         if None in out:
             if len(known) > self.most:
                 known.clear()
-            new = list({w for w, ids in zip(rest, out, strict=True) if ids is None})
-            for w, got in zip(new, self.tokenizer.encode_batch([" " + w for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(got.ids, dtype="<u4").tobytes()
-            out = [ids if ids is not None else known[w] for w, ids in zip(rest, out, strict=True)]
+            for k, (word, found) in enumerate(zip(rest, out, strict=True)):
+                if found is None:
+                    found = known.get(word)
+                    out[k] = known[word] = found if found is not None else array("I", self.ids(" " + word)).tobytes()
         return self._whole(first) + b"".join(out) if first else b"".join(out)
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, id_col="doc_id", text_col="text") -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, ranks_path: str | None = None, pattern: str = "", capacity: int = 1024, id_col="doc_id", text_col="text") -> DataFrame:
     """(task, doc, piece, start, length, local_rank, ids): the pieces, written to the shared folder.
 
     local_rank counts a task's pieces of one length; the table that is read back holds one attempt of each task."""
 
+    # a worker keeps a broadcast value, and with it the encoder and the words it has met, from task to task
+    kept = docs.sparkSession.sparkContext.broadcast({})
+
     def cut(batches):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encoder, task, ranks = Encoder(tokenizer_path), TaskContext.get().partitionId(), {}
+        if "encoder" not in kept.value:
+            kept.value["encoder"] = Encoder(tokenizer_path, ranks_path, pattern)
+        encoder, task, ranks = kept.value["encoder"], TaskContext.get().partitionId(), {}
         for batch in batches:
             rows, size = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -94,7 +111,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 102
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["task", "doc", "piece", "start", "length", "local_rank", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(cut, "task int, doc long, piece int, start long, length int, local_rank long, ids binary"), "pieces")
+    return materialize(rows.mapInArrow(tidied(cut), "task int, doc long, piece int, start long, length int, local_rank long, ids binary"), "pieces")
 
 
 def plan(counts: dict[int, int], capacity: int, *, groups: int = 16_384, small: int | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -231,4 +248,4 @@ def place_pieces(pieces: DataFrame, *, capacity: int = 1024) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
     schema = ranked.drop("rank").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return ranked.mapInArrow(apply, schema)
+    return ranked.mapInArrow(tidied(apply), schema)
