@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cubeloom.llm import decontaminate, packing, secret_scan, simhash, toxicity
 from cubeloom.llm._common import held_out, materialize
-from cubeloom.llm.entry import tokenizer_path
+from cubeloom.llm.entry import tokenizer_path, tokenizer_ranks
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece, in sequences of 1024 tokens."""
-    pieces = packing.tokenize_pieces(docs, tokenizer_path(), capacity=1024)
+    pieces = packing.tokenize_pieces(docs, tokenizer_path(), capacity=1024, **tokenizer_ranks())
     slim = pieces.select("task", F.col("doc").alias("doc_id"), "piece", "start", "length", "local_rank", F.crc32("ids").alias("ids_crc32"))
     placed = packing.place_pieces(slim, capacity=1024)
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
