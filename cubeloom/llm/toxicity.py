@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import bytes_of, sampled_ids, slices
+from cubeloom.llm._common import bytes_of, sampled_ids, slices, tidied
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -132,4 +132,4 @@ def score_toxicity(docs: DataFrame, model: LinearModel, *, text_col="text", scor
             score = pa.array(score_texts(held.value, texts), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), score], [*keep, score_col])
 
-    return docs.mapInArrow(apply, schema)
+    return docs.mapInArrow(tidied(apply), schema)
