@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import bytes_of, mix64
+from cubeloom.llm._common import bytes_of, mix64, tidied
 
 MOST_BENCHMARK_BYTES = 16 << 20  # of benchmark text that is broadcast at a time
 _TABLE = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_uppercase else 32 if chr(b) in string.punctuation else b for b in range(256))
@@ -184,6 +184,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", tex
                 kind = pa.list_(pa.struct([("item", pa.int64()), ("coverage", pa.float64()), ("longest", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], [*keep, column])
 
-        out = out.mapInArrow(apply, out.withColumn(column, F.lit(None).cast(kind)).schema)
+        out = out.mapInArrow(tidied(apply), out.withColumn(column, F.lit(None).cast(kind)).schema)
     made = [f"_tiles{b}" for b in range(blocks)]
     return out.withColumn("contamination", F.concat(*made)).drop(*made)

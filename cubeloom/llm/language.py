@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cubeloom.llm._common import tidied
+
 PIECE = 4096
 LEVEL = 6
 
@@ -90,4 +92,4 @@ def identify_language(docs: DataFrame, contents: dict[str, bytes], *, text_col="
                 [*keep, *out],
             )
 
-    return docs.mapInArrow(apply, schema)
+    return docs.mapInArrow(tidied(apply), schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import bytes_of, sampled_ids
+from cubeloom.llm._common import bytes_of, sampled_ids, tidied
 
 _CLASS = np.zeros((256, 9))
 for _b in range(256):
@@ -137,7 +137,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array([s.tolist() for s in stats], pa.list_(pa.float64()))], ["_id", "_label", "_stats"])
 
     id_type = dict(rows.dtypes)["_id"]
-    got = rows.mapInArrow(measure, f"_id {id_type}, _label int, _stats array<double>").toArrow().to_pylist()
+    got = rows.mapInArrow(tidied(measure), f"_id {id_type}, _label int, _stats array<double>").toArrow().to_pylist()
     got.sort(key=lambda r: (r["_id"], r["_stats"]))
     x = np.array([r["_stats"] for r in got]).reshape(-1, N_STATS)
     return boost(x, np.array([r["_label"] for r in got], dtype=np.float64))
@@ -155,4 +155,4 @@ def score_quality(docs: DataFrame, model: Forest, *, text_col="text", score_col=
             x = np.array([statistics(t) for t in texts]).reshape(-1, N_STATS)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(held.value.score(x), pa.float64())], [*keep, score_col])
 
-    return docs.mapInArrow(apply, schema)
+    return docs.mapInArrow(tidied(apply), schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import by_bucket, bytes_of, labels_of, materialize, mix64, partitions
+from cubeloom.llm._common import by_bucket, bytes_of, labels_of, materialize, mix64, partitions, tidied
 from cubeloom.llm.components import components
 
 RADIUS = 3
@@ -53,7 +53,7 @@ def with_fingerprint(docs: DataFrame, *, text_col="text", width: int = 3, out="f
             prints = np.array([fingerprint(t, width) for t in bytes_of(batch.column(text_col))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(prints.view(np.int64))], [*keep, out])
 
-    return docs.select(*keep, text_col).mapInArrow(apply, schema)
+    return docs.select(*keep, text_col).mapInArrow(tidied(apply), schema)
 
 
 def _search(prints: np.ndarray, bits: int = 16):
@@ -137,8 +137,8 @@ def links(prints: DataFrame) -> DataFrame:
         for k in range(0, len(pairs), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 50_000, c]) for c in (0, 1)], ["u", "v"])
 
-    dealt = prints.select("fp").mapInArrow(deal, "bucket int, keys binary, prints binary, tables binary")
-    return by_bucket(dealt, n, "bucket").mapInArrow(search, "u long, v long")
+    dealt = prints.select("fp").mapInArrow(tidied(deal), "bucket int, keys binary, prints binary, tables binary")
+    return by_bucket(dealt, n, "bucket").mapInArrow(tidied(search), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 3) -> DataFrame:
