@@ -19,7 +19,7 @@ from cubeloom.llm.suffix_array import suffix_array
 from cubeloom.llm.superkmer import Units, byte_units, shared_windows, spans_of
 
 SEED = 20  # bytes of a seed
-BLOCK = 500_000  # bytes of a suffix array, about
+BLOCK = 100_000  # windows of a suffix array, about
 
 
 def _same_windows(u: Units, at: np.ndarray, width: int) -> np.ndarray:
@@ -29,27 +29,33 @@ def _same_windows(u: Units, at: np.ndarray, width: int) -> np.ndarray:
     # pieces: runs of window starts no further apart than the width, of one string each
     cut = np.flatnonzero(np.append(True, (np.diff(starts) > width) | (u.text[starts[1:]] != u.text[starts[:-1]])))
     stop = np.append(cut[1:], len(starts))
-    raw, symbols, where = u.data, [], np.empty(len(starts), np.int64)
-    size = 0
-    for a, z in zip(cut, stop, strict=True):
-        piece = raw[starts[a] : starts[z - 1] + width]
-        where[a:z] = size + starts[a:z] - starts[a]
-        symbols.append(piece.astype(np.int16) + 1)
-        symbols.append(np.zeros(1, np.int16))
-        size += len(piece) + 1
-    joined = np.concatenate(symbols)
+    raw, where = u.data, np.empty(len(starts), np.int64)
+    size, seen = 0, {}  # equal pieces stand in the text once
+    for a, z in zip(cut.tolist(), stop.tolist(), strict=True):
+        first = starts[a]
+        piece = raw[first : starts[z - 1] + width].tobytes()
+        at_piece = seen.get(piece)
+        if at_piece is None:
+            at_piece = seen[piece] = size
+            size += len(piece) + 1
+        where[a:z] = starts[a:z] + (at_piece - first)
+    joined = np.zeros(size, np.int16)  # 0 parts the pieces
+    for piece, begin in seen.items():
+        joined[begin : begin + len(piece)] = np.frombuffer(piece, np.uint8)
+        joined[begin : begin + len(piece)] += 1
     suffixes = np.array(suffix_array(joined.tolist()))
-    window_at = np.full(len(joined), -1)
-    window_at[where] = np.arange(len(starts))
-    ranked = window_at[suffixes]
-    ranked = ranked[ranked >= 0]  # windows in suffix order
+    window = np.zeros(len(joined), bool)
+    window[where] = True
+    ranked = suffixes[window[suffixes]]  # window starts in suffix order
     rows = np.lib.stride_tricks.sliding_window_view(joined, width)
     new = np.ones(len(ranked), bool)
     for k in range(1, len(ranked), 20_000):
         part = ranked[k - 1 : k + 20_000]
-        new[k : k + len(part) - 1] = (rows[where[part[1:]]] != rows[where[part[:-1]]]).any(axis=1)
+        new[k : k + len(part) - 1] = (rows[part[1:]] != rows[part[:-1]]).any(axis=1)
+    number = np.empty(len(joined), np.int64)
+    number[ranked] = np.cumsum(new) - 1
     out = np.empty(len(starts), np.int64)
-    out[order[ranked]] = np.cumsum(new) - 1
+    out[order] = number[where]
     return out
 
 

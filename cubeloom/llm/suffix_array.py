@@ -86,20 +86,15 @@ def suffix_array(text: bytes | list[int]) -> list[int]:
                     for p in parents:
                         group[p] = last
         top = first
-    free = {}  # of a group: its next free place
+    free = list(range(n))  # of a group: its next free place
     out = [-1] * n
-    placed = [False] * n
-
-    def emit(j: int) -> None:
+    placed = bytearray(n)
+    for k in range(-1, n):  # the empty suffix is the least
+        j = out[k] - 1 if k >= 0 else n - 1
         while j >= 0 and not placed[j]:
             g = group[j]
-            k = free.get(g, g)
-            free[g] = k + 1
-            out[k] = j
-            placed[j] = True
+            out[free[g]] = j
+            free[g] += 1
+            placed[j] = 1
             j = previous[j]
-
-    emit(n - 1)  # the empty suffix is the least
-    for k in range(n):
-        emit(out[k] - 1)
     return out

@@ -24,12 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import by_bucket, labels_of, mix64, partitions
+from cubeloom.llm._common import by_bucket, labels_of, mix64, partitions, tidied, trim
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOW = (1 << 40) - 1
-_SLICE = 4 << 20
+_SLICE = 1 << 18
 
 
 class Hashes:
@@ -261,6 +261,7 @@ def shared_windows(docs: DataFrame, *, units: Callable, width: int, seed: int, g
             (int(label[b]), task, _pack(_five(key[one[s]] & np.uint64(_LOW)), l[s], (m - l)[s].astype(np.int64), length[one[s]].astype(np.uint32), tail=b"".join(parts[i] for i in one[s].tolist())))
             for b, s in _by_bucket(key[one], n)
         ]
+        trim()
         return pa.Table.from_batches([_batch(rows, names)])
 
     def decide(batches):
@@ -358,12 +359,13 @@ def shared_windows(docs: DataFrame, *, units: Callable, width: int, seed: int, g
                 np.add.at(change, r.first[run] + a[at], 1)
                 np.add.at(change, r.first[run] + z[at] - 1 + width, -1)
             made.append(finish(doc, real, texts, u, np.cumsum(change)[:-1] > 0))
+        trim()
         return pa.Table.from_batches(made)
 
     blobs = "_bucket int, _from int, _blob binary"
-    back = by_bucket(dealt.mapInArrow(deal, blobs), n, "_bucket").mapInArrow(common, "_task int, _bucket int, _blob binary")
+    back = by_bucket(dealt.mapInArrow(tidied(deal), blobs), n, "_bucket").mapInArrow(tidied(common), "_task int, _bucket int, _blob binary")
     packed = dealt.groupBy("_task").cogroup(back.groupBy("_task")).applyInArrow(pack, blobs)
-    decided = by_bucket(packed, n, "_bucket").mapInArrow(decide, "_task int, _blob binary")
+    decided = by_bucket(packed, n, "_bucket").mapInArrow(tidied(decide), "_task int, _blob binary")
     return dealt.groupBy("_task").cogroup(decided.groupBy("_task")).applyInArrow(mark, schema)
 
 
