@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeloom.llm import decontaminate, packing, secret_scan, simhash, toxicity
+from cubeloom.llm import decontaminate, packing, secret_scan, shingle_join, toxicity
 from cubeloom.llm._common import held_out, materialize
 from cubeloom.llm.entry import tokenizer_path, tokenizer_ranks
 
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the least id stays."""
-    found = simhash.near_duplicates(docs, width=3)
+    """Of each group linked by SimHash or by 0.8 or more of their 5-word shingles the document with the least id stays."""
+    found = shingle_join.near_copies(docs)
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
