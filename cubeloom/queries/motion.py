@@ -188,7 +188,16 @@ def split_by_plane(spark, sf):
 
 @add(f"WITH {_EV} SELECT user_id // 10 AS region, COUNT(DISTINCT user_id) FILTER (id % 2 = 0) AS known, COUNT(DISTINCT user_id) AS expected, round(least(1, COUNT(DISTINCT user_id) FILTER (id % 2 = 0) / COUNT(DISTINCT user_id)), 6) AS consistency FROM e WHERE id < 2000 GROUP BY 1")
 def neighbour_consistency(spark, sf):
-    e = events(spark, sf).where("id < 2000")
+    """The first 2,000 events only, as in its SQL; neighbour_consistency_whole has all."""
+    return _consistency(events(spark, sf).where("id < 2000"))
+
+
+def _consistency(e):
     known, expected = F.count_distinct(F.when(F.col("id") % 2 == 0, F.col("user_id"))), F.count_distinct("user_id")
     got = e.groupBy(F.floor(F.col("user_id") / 10).alias("region")).agg(known.alias("known"), expected.alias("expected"))
     return got.select("*", F.round(F.least(F.lit(1.0), F.col("known") / F.col("expected")), 6).alias("consistency"))
+
+
+@add(f"WITH {_EV} SELECT user_id // 10 AS region, COUNT(DISTINCT user_id) FILTER (id % 2 = 0) AS known, COUNT(DISTINCT user_id) AS expected, round(least(1, COUNT(DISTINCT user_id) FILTER (id % 2 = 0) / COUNT(DISTINCT user_id)), 6) AS consistency FROM e GROUP BY 1")
+def neighbour_consistency_whole(spark, sf):
+    return _consistency(events(spark, sf))
