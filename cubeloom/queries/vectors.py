@@ -55,8 +55,11 @@ def nd_discretise(spark, sf):
 
 @add(f"WITH {VECTORS}, c AS (SELECT id, {_CELL} FROM ve) SELECT a.id AS id1, b.id AS id2 FROM c a JOIN c b ON a.id < b.id AND abs(a.c1 - b.c1) <= 1 AND abs(a.c2 - b.c2) <= 1 AND abs(a.c3 - b.c3) <= 1 WHERE a.id < 100 AND b.id < 100")
 def nd_candidates(spark, sf):
-    """Pairs in the same or a neighbouring cell, among the first hundred vectors (the operator's own argument)."""
-    v = views.vectors(spark, sf).where("id < 100")
+    """Pairs in the same or a neighbouring cell, among the first hundred vectors, as in its SQL; nd_candidates_whole has all."""
+    return _candidates(views.vectors(spark, sf).where("id < 100"))
+
+
+def _candidates(v):
     c = v.select("id", nd.cell(nd.project("v", [0, 1, 2]), [-4.0] * 3, [4.0] * 3, 3).alias("c")).select("id", *(F.col("c")[k].alias(f"c{k}") for k in range(3)))
     near = c
     for k in range(3):
@@ -64,6 +67,11 @@ def nd_candidates(spark, sf):
     return near.withColumnRenamed("id", "id1").join(c.withColumnRenamed("id", "id2"), ["c0", "c1", "c2"]).where("id1 < id2").select("id1", "id2")
 
 
+@add(f"WITH {VECTORS}, c AS (SELECT id, {_CELL} FROM ve) SELECT a.id AS id1, b.id AS id2 FROM c a JOIN c b ON a.id < b.id AND abs(a.c1 - b.c1) <= 1 AND abs(a.c2 - b.c2) <= 1 AND abs(a.c3 - b.c3) <= 1")
+def nd_candidates_whole(spark, sf):
+    return _candidates(views.vectors(spark, sf))
+
+
 @add(f"WITH {PARTS} SELECT a.id AS id1, round(greatest(a.min_x, b.min_x), 6) AS low_x, round(least(a.max_x, b.max_x), 6) AS high_x, round(least(a.min_y, b.min_y), 6) AS union_low_y, round(greatest(a.max_y, b.max_y), 6) AS union_high_y, a.min_x <= b.max_x AND b.min_x <= a.max_x AND a.min_y <= b.max_y AND b.min_y <= a.max_y AND a.min_z <= b.max_z AND b.min_z <= a.max_z AS overlap FROM pt a, (SELECT * FROM pt WHERE id = 77) b")
 def nd_box_algebra(spark, sf):
     p = views.parts(spark, sf)

@@ -2,7 +2,7 @@
 
 from collections import defaultdict
 
-from cubeloom.queries import load, motion
+from cubeloom.queries import load, motion, vectors
 
 
 def test_neighbour_consistency_whole(spark, tmp_path):
@@ -15,3 +15,13 @@ def test_neighbour_consistency_whole(spark, tmp_path):
     got = {r["region"]: (r["known"], r["expected"]) for r in motion.neighbour_consistency_whole(spark, str(tmp_path)).collect()}
     assert got == {k: (len(known[k]), len(v)) for k, v in expected.items()}
     assert "neighbour_consistency_whole" in load().sql
+
+
+def test_nd_candidates_whole(spark, tmp_path):
+    rows = [(k, [(k * 7 % 80) / 10 - 4, (k * 3 % 80) / 10 - 4, (k % 80) / 10 - 4, 0.5], "a") for k in range(90, 170)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()
+    cell = {r["vec_id"]: [min(max(int((x + 4) // 1), 0), 7) for x in r["embedding"][:3]] for r in v}
+    want = {(a, b) for a in cell for b in cell if a < b and all(abs(p - q) <= 1 for p, q in zip(cell[a], cell[b], strict=True))}
+    assert {tuple(r) for r in vectors.nd_candidates_whole(spark, str(tmp_path)).collect()} == want
+    assert max(want) > (100, 100)
