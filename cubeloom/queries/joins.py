@@ -84,13 +84,23 @@ def collide_spheres(spark, sf):
 
 @add(f"WITH {PARTS}, {EVENTS}, s AS (SELECT id, x AS sx, y * 5 AS sy, z AS sz FROM ev WHERE id % 5 = 0), c AS (SELECT s.id AS sphere_id, p.id AS box_id, " + " + ".join(f"greatest(min_{c} - s{c}, s{c} - max_{c}, 0) * greatest(min_{c} - s{c}, s{c} - max_{c}, 0)" for c in "xyz") + " AS d2 FROM s, pt p) SELECT sphere_id, box_id, round(12 - sqrt(d2), 6) AS depth FROM c WHERE d2 <= 144")
 def collide_spheres_with_boxes(spark, sf):
-    s = views.events(spark, sf).where("id % 5 = 0").select("id", "x", (F.col("y") * 5).alias("y"), "z")
-    near = collide.point_box_pairs(s, views.parts(spark, sf), reach=12.0).select("point_id", "box_id")
-    full = near.join(s.withColumnRenamed("id", "point_id"), "point_id").join(views.parts(spark, sf).select(F.col("id").alias("box_id"), *LOW, *HIGH), "box_id")
+    """A fifth of the events, as in its SQL; collide_spheres_with_boxes_whole has all."""
+    return _spheres_with_boxes(views.events(spark, sf).where("id % 5 = 0"), views.parts(spark, sf))
+
+
+def _spheres_with_boxes(events, boxes):
+    s = events.select("id", "x", (F.col("y") * 5).alias("y"), "z")
+    near = collide.point_box_pairs(s, boxes, reach=12.0).select("point_id", "box_id")
+    full = near.join(s.withColumnRenamed("id", "point_id"), "point_id").join(boxes.select(F.col("id").alias("box_id"), *LOW, *HIGH), "box_id")
     d = F.expr(geom.box_distance(P, LOW, HIGH))
     return full.where(d <= 12).select(F.col("point_id").alias("sphere_id"), "box_id", F.round(12 - d, 6).alias("depth"))
 
 
+@add()
+def collide_spheres_with_boxes_whole(spark, sf):
+    return _spheres_with_boxes(views.events(spark, sf), views.parts(spark, sf))
+
+
 @add()
 def collide_capsules(spark, sf):
     """Upright capsules: segments of length half about the centre, radius half / 2."""
@@ -227,11 +237,20 @@ _GRAPH = "e AS (SELECT DISTINCT o_custkey AS a, o_custkey * 7 % 1500 AS b FROM o
 
 @add(f"WITH RECURSIVE {_GRAPH}, u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT x, x FROM u UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node) SELECT node, MIN(root) AS root FROM r GROUP BY node")
 def graph_components(spark, sf):
+    """The customers divisible by 3, as in its SQL; graph_components_whole has all."""
+    return _order_components(spark, views.table(spark, sf, "orders").where("o_custkey % 3 = 0"))
+
+
+def _order_components(spark, o):
     _checkpoints(spark)
-    o = views.table(spark, sf, "orders").where("o_custkey % 3 = 0")
     return forest.components(o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1500).alias("b")).distinct())
 
 
+@add()
+def graph_components_whole(spark, sf):
+    return _order_components(spark, views.table(spark, sf, "orders"))
+
+
 @add(f"WITH RECURSIVE {_TREES}, {_TOUCH}, u AS (SELECT a AS x, b AS y FROM s WHERE flat = 1 UNION SELECT b, a FROM s WHERE flat = 1), r(node, hops) AS (SELECT 0::BIGINT, 0 UNION SELECT u.y, r.hops + 1 FROM r JOIN u ON u.x = r.node WHERE r.hops < 7) SELECT node, MIN(hops) AS hops FROM r GROUP BY node")
 def graph_hops(spark, sf):
     _checkpoints(spark)

@@ -64,10 +64,20 @@ def exactly_once_tokens(spark, sf):
 
 @add(f"WITH {_EV} SELECT user_id AS id, max(ts_ms) AS ts_ms, arg_max(source, id) AS source FROM e WHERE id % 3 = 0 GROUP BY user_id")
 def migration_log_latest(spark, sf):
-    e = batch.once(events(spark, sf).where("id % 3 = 0"), ["id"], ["ts_ms"])
+    """A third of the events, as in its SQL; migration_log_latest_whole has all."""
+    return _log_latest(events(spark, sf).where("id % 3 = 0"))
+
+
+def _log_latest(e):
+    e = batch.once(e, ["id"], ["ts_ms"])
     return e.groupBy(F.col("user_id").alias("id")).agg(F.max("ts_ms").alias("ts_ms"), F.max_by("source", "id").alias("source"))
 
 
+@add(f"WITH {_EV} SELECT user_id AS id, max(ts_ms) AS ts_ms, arg_max(source, id) AS source FROM e GROUP BY user_id")
+def migration_log_latest_whole(spark, sf):
+    return _log_latest(events(spark, sf))
+
+
 @add(f"WITH {_EV}, g AS (SELECT user_id AS neighbour, ts_ms // {HOUR * 24} AS bucket, COUNT(*) AS n FROM e GROUP BY ALL) SELECT *, bucket // 100 AS epoch, CAST(row_number() OVER (PARTITION BY neighbour ORDER BY bucket) AS INTEGER) AS version FROM g")
 def ghost_batches(spark, sf):
     e = events(spark, sf).select(F.col("user_id").alias("neighbour"), batch.bucket("ts_ms", HOUR * 24).alias("bucket"))
@@ -88,9 +98,20 @@ def ghost_cap(spark, sf):
 
 @add(f"WITH {_EV}, m AS (SELECT max(ts_ms) AS now FROM e), s AS (SELECT user_id AS id, COUNT(*) AS updates, any_value(now) - max(ts_ms) AS age FROM e, m WHERE user_id % 3 = 0 OR id % 50 = 0 GROUP BY user_id) SELECT id, updates, CASE WHEN age > {50 * HOUR} THEN 'expired' WHEN age > {25 * HOUR} THEN 'stale' WHEN updates > 1 THEN 'active' ELSE 'created' END AS state FROM s")
 def ghost_lifecycle(spark, sf):
+    """A part of the events, as in its SQL; ghost_lifecycle_whole has all."""
     e = events(spark, sf)
+    return _lifecycle(e, e.where("user_id % 3 = 0 OR id % 50 = 0"))
+
+
+def _lifecycle(e, updates):
     now = e.agg(F.max("ts_ms")).first()[0]
-    return batch.ghost_states(e.where("user_id % 3 = 0 OR id % 50 = 0").select(F.col("user_id").alias("id"), "ts_ms"), now, 25 * HOUR, 25 * HOUR)
+    return batch.ghost_states(updates.select(F.col("user_id").alias("id"), "ts_ms"), now, 25 * HOUR, 25 * HOUR)
+
+
+@add(f"WITH {_EV}, m AS (SELECT max(ts_ms) AS now FROM e), s AS (SELECT user_id AS id, COUNT(*) AS updates, any_value(now) - max(ts_ms) AS age FROM e, m GROUP BY user_id) SELECT id, updates, CASE WHEN age > {50 * HOUR} THEN 'expired' WHEN age > {25 * HOUR} THEN 'stale' WHEN updates > 1 THEN 'active' ELSE 'created' END AS state FROM s")
+def ghost_lifecycle_whole(spark, sf):
+    e = events(spark, sf)
+    return _lifecycle(e, e)
 
 
 AT = 500 * HOUR

@@ -2,7 +2,8 @@
 
 from collections import defaultdict
 
-from cubeloom.queries import load, motion, vectors
+from cubeloom import views
+from cubeloom.queries import joins, load, motion, vectors
 
 
 def test_neighbour_consistency_whole(spark, tmp_path):
@@ -25,3 +26,41 @@ def test_nd_candidates_whole(spark, tmp_path):
     want = {(a, b) for a in cell for b in cell if a < b and all(abs(p - q) <= 1 for p, q in zip(cell[a], cell[b], strict=True))}
     assert {tuple(r) for r in vectors.nd_candidates_whole(spark, str(tmp_path)).collect()} == want
     assert max(want) > (100, 100)
+
+
+def test_collide_spheres_with_boxes_whole(spark, sf):
+    boxes = [r.asDict() for r in views.parts(spark, sf).collect()]
+    want = {}
+    for e in views.events(spark, sf).collect():
+        at = dict(x=e["x"], y=e["y"] * 5, z=e["z"])
+        for p in boxes:
+            d = sum(max(p[f"min_{c}"] - at[c], at[c] - p[f"max_{c}"], 0) ** 2 for c in "xyz") ** 0.5
+            if d <= 12:
+                want[e["id"], p["id"]] = 12 - d
+    got = {(r["sphere_id"], r["box_id"]): r["depth"] for r in joins.collide_spheres_with_boxes_whole(spark, sf).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert any(k[0] % 5 for k in want)
+
+
+def test_graph_components_whole(spark, sf):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().collect():
+        a, b = sorted((find(r[0]), find(r[0] * 7 % 1500)))
+        root[b] = a
+    assert {r["node"]: r["root"] for r in joins.graph_components_whole(spark, sf).collect()} == {x: find(x) for x in root}
+
+
+def test_event_logs_whole(spark, sf):
+    last, n = {}, defaultdict(int)
+    for r in sorted(motion.events(spark, sf).collect(), key=lambda r: r["id"]):
+        ts, _ = last.get(r["user_id"], (r["ts_ms"], ""))
+        last[r["user_id"]] = max(ts, r["ts_ms"]), r["source"]
+        n[r["user_id"]] += 1
+    assert {r["id"]: (r["ts_ms"], r["source"]) for r in motion.migration_log_latest_whole(spark, sf).collect()} == last
+    assert {r["id"]: r["updates"] for r in motion.ghost_lifecycle_whole(spark, sf).collect()} == dict(n)
