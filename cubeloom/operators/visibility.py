@@ -105,11 +105,11 @@ def frustum_view(df: DataFrame, planes, camera) -> DataFrame:
 POINT_SIZE, BLOCKED, ENDS = 1.0, 0.5, (0.1, 0.9)
 
 
-def occluders(df: DataFrame, pairs: DataFrame, radius: float = 0.1) -> DataFrame:
+def occluders(df: DataFrame, pairs: DataFrame, radius: float = 0.1, few: bool = True) -> DataFrame:
     """(pair, id, t, ratio, kind) of the entities on the segments of pairs (pair, ox.., tx..).
 
     ratio: half the squared angular size, at most 1, halved near the ends; kind: behind, before_observer, full, partial.
-    The observer-target segments are few (a query's parameters) and broadcast."""
+    The observer-target segments are few (a query's parameters) and broadcast, unless few is False."""
     o, t = ("ox", "oy", "oz"), ("tx", "ty", "tz")
     p = pairs.withColumn("_d", F.expr(geom.dist(o, t))).where("_d > 0")
     for axis, a, b in zip("xyz", o, t, strict=True):
@@ -119,7 +119,7 @@ def occluders(df: DataFrame, pairs: DataFrame, radius: float = 0.1) -> DataFrame
     bounded = "min_x" in df.columns
     hit = f"CASE WHEN min_x IS NULL THEN {point} ELSE {geom.ray_box(o, d, LOW, HIGH, '_d')} END" if bounded else point
     size = f"CASE WHEN min_x IS NULL THEN {POINT_SIZE} ELSE greatest(max_x - min_x, max_y - min_y, max_z - min_z) END" if bounded else repr(POINT_SIZE)
-    rows = df.crossJoin(F.broadcast(p)).withColumn("t", F.expr(hit)).where("t IS NOT NULL").withColumn("_size", F.expr(size))
+    rows = df.crossJoin(F.broadcast(p) if few else p).withColumn("t", F.expr(hit)).where("t IS NOT NULL").withColumn("_size", F.expr(size))
     angular = "(_size / greatest(t, 1.0))"
     ratio = f"least(1.0, 0.5 * {angular} * {angular}) * CASE WHEN t / _d < {ENDS[0]} OR t / _d > {ENDS[1]} THEN 0.5 ELSE 1.0 END"
     kind = "CASE WHEN t > _d THEN 'behind' WHEN t < 0.05 * _d THEN 'before_observer' WHEN _size / greatest(t, 1e-9) > 0.5 THEN 'full' ELSE 'partial' END"
@@ -144,6 +144,17 @@ def in_cone(df: DataFrame, eye, direction, angle: float, reach: float) -> DataFr
     return near.where(F.expr(f"distance = 0 OR {geom.dot(to, v)} >= {math.cos(angle)!r} * distance * {size!r}"))
 
 
+def visible_in_cone(df: DataFrame, eye, direction, angle: float, reach: float) -> DataFrame:
+    """Entities of in_cone that the eye sees: what lies on the line to their position (themselves included, full or
+    partial) sums to less than 0.5, or is themselves alone."""
+    cone = in_cone(df, eye, direction, angle, reach)
+    segments = cone.where("distance >= 1e-6").select(F.col("id").alias("pair"), *(F.lit(float(v)).alias(c) for v, c in zip(eye, ("ox", "oy", "oz"), strict=True)), *(F.col(c).alias(f"t{c}") for c in P))
+    hits = occluders(df, segments, few=False).where("occlusion IN ('full', 'partial')").join(cone.select(F.col("id").alias("pair"), "distance"), "pair").where("t < distance")
+    sums = hits.groupBy("pair").agg(F.sum("ratio").alias("_r"), F.count("*").alias("_n"), F.max(F.col("id") == F.col("pair")).alias("_self"))
+    hidden = sums.where((F.col("_r") >= BLOCKED) & ~((F.col("_n") == 1) & F.col("_self")))
+    return cone.join(hidden.select(F.col("pair").alias("id")), "id", "left_anti")
+
+
 def vantage_scores(df: DataFrame, target, points: DataFrame) -> DataFrame:
     """(pair, score): candidate points (pair, ox..) ranked by how well they see the target."""
     t = dict(zip(("tx", "ty", "tz"), map(float, target), strict=True))

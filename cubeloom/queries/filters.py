@@ -321,9 +321,16 @@ def visibility_statistics(spark, sf):
 
 @add(f"WITH {ORDERS}, d AS (SELECT id, x - 100 AS a, y - 100 AS b, z - 100 AS c FROM od), e AS (SELECT id, sqrt(a * a + b * b + c * c) AS d, (a + b + c) / sqrt(3.0::DOUBLE) AS f FROM d) SELECT id, round(d, 6) AS distance FROM e WHERE d <= 1500 AND (d = 0 OR f >= cos(0.35::DOUBLE) * d)")
 def view_cone(spark, sf):
+    """Distance and angle only, as in its SQL; visible_entities also has the line of sight."""
     return visibility.in_cone(views.orders(spark, sf), (100.0, 100.0, 100.0), (1.0, 1.0, 1.0), 0.35, 1500.0).select("id", F.round("distance", 6).alias("distance"))
 
 
+@add()
+def visible_entities(spark, sf):
+    """Boxes in a cone that no other box hides."""
+    return visibility.visible_in_cone(views.parts(spark, sf), (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), 0.8, 1500.0).select("id", F.round("distance", 6).alias("distance"))
+
+
 @add(
     f"WITH {PARTS}, v(pair, ox, oy, oz) AS (VALUES (1::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (2, 900, 100, 500), (3, 300, 800, 100)), pd AS (SELECT *, sqrt((500 - ox) * (500 - ox) + (500 - oy) * (500 - oy) + (500 - oz) * (500 - oz)) AS dd FROM v), pr AS (SELECT *, (500 - ox) / dd AS dx, (500 - oy) / dd AS dy, (500 - oz) / dd AS dz FROM pd), "
     + _LOS.split("pr AS", 1)[1].split("FROM pd), ", 1)[1].rstrip()

@@ -1,9 +1,11 @@
 """Queries over whole tables, against plain versions that leave no row out."""
 
+import math
 from collections import defaultdict
 
 from cubeloom import views
-from cubeloom.queries import joins, load, motion, vectors
+from cubeloom.operators import visibility
+from cubeloom.queries import filters, joins, load, motion, vectors
 
 
 def test_neighbour_consistency_whole(spark, tmp_path):
@@ -64,3 +66,40 @@ def test_event_logs_whole(spark, sf):
         n[r["user_id"]] += 1
     assert {r["id"]: (r["ts_ms"], r["source"]) for r in motion.migration_log_latest_whole(spark, sf).collect()} == last
     assert {r["id"]: r["updates"] for r in motion.ghost_lifecycle_whole(spark, sf).collect()} == dict(n)
+
+
+def seen(boxes, eye, direction, angle, reach):
+    """Ids in the cone and in line of sight, by slabs, over all pairs."""
+    size, out = sum(c * c for c in direction) ** 0.5, set()
+    for b in boxes:
+        to = [b[c] - e for c, e in zip("xyz", eye, strict=True)]
+        d = sum(c * c for c in to) ** 0.5
+        if d > reach or d and sum(p * q for p, q in zip(to, direction, strict=True)) < math.cos(angle) * d * size:
+            continue
+        hits = []
+        for o in boxes if d >= 1e-6 else []:
+            enter, leave = 0.0, d
+            for c, e, v in zip("xyz", eye, to, strict=True):
+                v, lo, hi = v / d, o[f"min_{c}"] - e, o[f"max_{c}"] - e
+                if v == 0:
+                    enter = enter if lo <= 0 <= hi else math.inf
+                else:
+                    enter, leave = max(enter, min(lo / v, hi / v)), min(leave, max(lo / v, hi / v))
+            if enter <= leave and 0.05 * d <= enter < d:
+                s = max(o[f"max_{c}"] - o[f"min_{c}"] for c in "xyz") / max(enter, 1.0)
+                hits.append((o["id"], min(1.0, s * s / 2) * (0.5 if enter / d < 0.1 or enter / d > 0.9 else 1.0)))
+        if sum(r for _, r in hits) < 0.5 or [i for i, _ in hits] == [b["id"]]:
+            out.add(b["id"])
+    return out
+
+
+def test_visible_in_cone(spark, sf):
+    box = lambda i, x, y, z, h: dict(id=i, x=x, y=y, z=z) | {f"{e}_{c}": v + g * h for c, v in zip("xyz", (x, y, z), strict=True) for e, g in (("min", -1), ("max", 1))}
+    made = [box(1, 20.0, 0.0, 0.0, 8.0), box(2, 60.0, 0.0, 0.0, 2.0), box(3, 40.0, 30.0, 0.0, 2.0), box(4, -30.0, 0.0, 0.0, 2.0), box(5, 0.0, -40.0, 0.0, 10.0)]
+    args = ((0.0, 0.0, 0.0), (1.0, 0.0, 0.0), 0.7, 100.0)
+    frame = spark.createDataFrame([tuple(float(v) if k != "id" else v for k, v in b.items()) for b in made], list(made[0]))
+    cone = {r["id"] for r in visibility.in_cone(frame, *args).collect()}
+    got = {r["id"] for r in visibility.visible_in_cone(frame, *args).collect()}
+    assert cone == {1, 2, 3} and got == {1, 3} == seen(made, *args)
+    parts = [r.asDict() for r in views.parts(spark, sf).collect()]
+    assert {r["id"] for r in filters.visible_entities(spark, sf).collect()} == seen(parts, (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), 0.8, 1500.0)
