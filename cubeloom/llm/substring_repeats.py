@@ -1,8 +1,8 @@
 """Suffix-array dedup: bytes under a string of `width` bytes that an earlier document (a smaller id) also has.
 
-Super-k-mer partitioning brings the occurrences of equal windows together (see superkmer). Where strings of one
-minimiser differ, their windows that may be equal are cut out, a suffix array of the pieces is built by linear
-grouping, and neighbours in it that agree on `width` bytes are the equal windows.
+Texts are cut into strings so that equal windows of `width` bytes come to one minimiser (see superkmer); a string that
+many documents hold is there once. A suffix array of a minimiser's strings is built by linear grouping, and neighbours in
+it that agree on `width` bytes are the equal windows. A string with no other of its minimiser needs no sorting.
 
 Null texts are empty. Texts shorter than `width` are kept whole. Rows with a null id are kept whole and remove nothing.
 Rows of one id count as one document and remove nothing from each other; of two documents with one text the one with
@@ -15,38 +15,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cubeloom.llm.suffix_array import suffix_array
+from cubeloom.llm.suffix_array import suffix_arrays
 from cubeloom.llm.superkmer import Units, byte_units, shared_windows, spans_of
 
 SEED = 20  # bytes of a seed
-BLOCK = 100_000  # windows of a suffix array, about
 
 
-def _same_windows(u: Units, at: np.ndarray, width: int) -> np.ndarray:
-    """A class number for each window (its first byte): equal where the windows' bytes are."""
-    order = np.argsort(at)
-    starts = at[order]
-    # pieces: runs of window starts no further apart than the width, of one string each
-    cut = np.flatnonzero(np.append(True, (np.diff(starts) > width) | (u.text[starts[1:]] != u.text[starts[:-1]])))
-    stop = np.append(cut[1:], len(starts))
-    raw, where = u.data, np.empty(len(starts), np.int64)
-    size, seen = 0, {}  # equal pieces stand in the text once
-    for a, z in zip(cut.tolist(), stop.tolist(), strict=True):
-        first = starts[a]
-        piece = raw[first : starts[z - 1] + width].tobytes()
-        at_piece = seen.get(piece)
-        if at_piece is None:
-            at_piece = seen[piece] = size
-            size += len(piece) + 1
-        where[a:z] = starts[a:z] + (at_piece - first)
-    joined = np.zeros(size, np.int16)  # 0 parts the pieces
-    for piece, begin in seen.items():
-        joined[begin : begin + len(piece)] = np.frombuffer(piece, np.uint8)
-        joined[begin : begin + len(piece)] += 1
-    suffixes = np.array(suffix_array(joined.tolist()))
+def same_windows(u: Units, at: np.ndarray, minimiser: np.ndarray, width: int) -> np.ndarray:
+    """A class number for each window (its first byte): equal where the windows' bytes are. The strings of a minimiser are
+    one text with a suffix array; windows that stand next to each other in it are compared, and nothing else tells which
+    are equal."""
+    joined = np.zeros(len(u.data) + len(minimiser), np.int16)  # 0 ends each string
+    place = np.arange(len(u.data)) + u.text
+    joined[place] = u.data
+    joined[place] += 1
+    lengths = np.bincount(minimiser, weights=np.bincount(u.text, minlength=len(minimiser)) + 1).astype(np.int64)
+    suffixes = suffix_arrays(joined, lengths)
     window = np.zeros(len(joined), bool)
-    window[where] = True
-    ranked = suffixes[window[suffixes]]  # window starts in suffix order
+    window[place[at]] = True
+    ranked = suffixes[window[suffixes]]  # window starts in suffix order, minimiser by minimiser
     rows = np.lib.stride_tricks.sliding_window_view(joined, width)
     new = np.ones(len(ranked), bool)
     for k in range(1, len(ranked), 20_000):
@@ -54,9 +41,7 @@ def _same_windows(u: Units, at: np.ndarray, width: int) -> np.ndarray:
         new[k : k + len(part) - 1] = (rows[part[1:]] != rows[part[:-1]]).any(axis=1)
     number = np.empty(len(joined), np.int64)
     number[ranked] = np.cumsum(new) - 1
-    out = np.empty(len(starts), np.int64)
-    out[order] = number[where]
-    return out
+    return number[place[at]]
 
 
 def find_repeats(docs: DataFrame, *, width: int = 50, id_col="doc_id", text_col="text") -> DataFrame:
@@ -64,24 +49,8 @@ def find_repeats(docs: DataFrame, *, width: int = 50, id_col="doc_id", text_col=
     bytes outside the spans, joined."""
     seed = min(SEED, width)
 
-    def group_windows(u: Units, at: np.ndarray, of: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Windows of one hash class stay together; blocks of classes have a bounded size."""
-        names, class_no = np.unique(classes, return_inverse=True)
-        # classes in the order they appear, so that a string's windows mostly share a block
-        first = np.full(len(names), len(at))
-        np.minimum.at(first, class_no, np.arange(len(at)))
-        rank = np.empty(len(names), np.int64)
-        rank[np.argsort(first)] = np.arange(len(names))
-        sizes = np.bincount(rank[class_no], minlength=len(names))
-        block = np.cumsum(sizes) // BLOCK
-        out, base = np.empty(len(at), np.int64), 0
-        block_of = block[rank[class_no]]
-        for b in np.unique(block_of):
-            k = np.flatnonzero(block_of == b)
-            got = _same_windows(u, at[k], width)
-            out[k] = got + base
-            base += int(got.max()) + 1
-        return out
+    def group_windows(u: Units, at: np.ndarray, minimiser: np.ndarray) -> np.ndarray:
+        return same_windows(u, at, minimiser, width)
 
     def finish(ids, real, texts, u, covered):
         spans = spans_of(covered, u.text, len(texts))

@@ -5,11 +5,12 @@ least hash of its runs of `seed` units. Consecutive windows with one minimiser t
 super-k-mer, to the bucket of their minimiser, so equal windows always meet. Four steps, in one plan without a driver:
 
 1. deal: texts are dealt to tasks by a hash; each sends the distinct minimisers it has, with the least and greatest
-   document that has them, to the minimisers' buckets; those of two documents or more come back to the tasks.
+   document that has them, to the minimisers' buckets; those of two documents or more come back to the tasks. Their
+   number follows from the bytes of text (SHARE each), so a task's memory doesn't grow with the table.
 2. pack: tasks send the distinct super-k-mers of those minimisers, packed and compressed, with their least and greatest
    document. A hot string is one entry a task, however many documents hold it.
-3. decide: a bucket groups equal strings; where a minimiser has several strings, equal windows are grouped exactly (by
-   the operator's own method). What comes back: ranges of windows of a string, with the least document that has them.
+3. decide: a bucket groups equal strings; where a minimiser has several strings, the operator's own method groups equal
+   windows, block by block. What comes back: ranges of windows of a string, with the least document that has them.
 4. mark: tasks mark the units under windows whose least document is below their own.
 """
 
@@ -30,6 +31,11 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOW = (1 << 40) - 1
 _SLICE = 1 << 18
+_WHOLE = (1 << 32) - 1  # as a range's end: up to the string's last window
+_SOME = 5_000  # strings hashed at a time
+SHARE = 8 << 20  # bytes of text a task holds, about
+BLOCK = 1 << 21  # bytes of strings whose equal windows are found together, about
+MOST = 1 << 17  # bytes of strings of one minimiser before it is cut again
 
 
 class Hashes:
@@ -105,13 +111,13 @@ class Runs:
     end: np.ndarray
 
 
-def runs_of(u: Units, width: int, seed: int, buckets: int) -> Runs:
+def runs_of(u: Units, width: int, seed: int, buckets: int, salt: np.uint64 = np.uint64(0)) -> Runs:
     n = len(u.start) - width + 1
     if n < 1:
         none = np.zeros(0, dtype=np.int64)
         return Runs(none.astype(np.uint64), none.astype(np.uint64), none, none, none, none)
     hashes = Hashes(u.data)
-    low = _least(mix64(hashes.of(u.start[: len(u.start) - seed + 1], u.end[seed - 1 :])), width - seed + 1)
+    low = _least(mix64(hashes.of(u.start[: len(u.start) - seed + 1], u.end[seed - 1 :]) ^ salt), width - seed + 1)
     inside = u.text[:n] == u.text[width - 1 :]
     starts = np.flatnonzero(inside & np.append(True, (low[1:] != low[:-1]) | ~inside[:-1]))
     stops = np.flatnonzero(inside & np.append((low[1:] != low[:-1]) | ~inside[1:], True))
@@ -191,17 +197,89 @@ def _join_key(key: np.ndarray, string: np.ndarray) -> np.ndarray:
     return mix64(key) ^ string
 
 
+def least_documents(keys: list, strings: list[bytes], firsts: list, units: Callable, width: int, seed: int, group_windows: Callable, block: int = BLOCK, most: int = MOST):
+    """(k, least): of each string the least document of each of its windows, over all strings of its key; None where the
+    key has no other string. Strings stand by key, each once a key; keys go together into blocks of about `block`
+    bytes, of which group_windows finds the equal windows. A key whose strings alone are over `most` is cut again by a longer
+    seed: equal windows have equal minimisers of that too; seeds as long as windows leave one string a key."""
+    edge = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)] if keys else [0]
+    waiting: list[int] = []
+    size = 0
+    for a, z in zip(edge[:-1], edge[1:], strict=True):
+        bytes_here = sum(map(len, strings[a:z])) if z > a + 1 else 0
+        if z == a + 1:
+            yield a, None
+        elif bytes_here > most and seed < width:
+            yield from _cut_again(range(a, z), strings, firsts, units, width, seed, group_windows, block, most)
+        else:
+            waiting += range(a, z)
+            size += bytes_here
+            if size >= block:
+                yield from _settled(waiting, keys, strings, firsts, units, width, group_windows)
+                waiting, size = [], 0
+    if waiting:
+        yield from _settled(waiting, keys, strings, firsts, units, width, group_windows)
+
+
+def _settled(those, keys, strings, firsts, units, width, group_windows):
+    u = units([strings[k] for k in those])
+    units_of = np.bincount(u.text, minlength=len(those))
+    counts = units_of - width + 1
+    of = np.repeat(np.arange(len(those)), counts)
+    ends = np.cumsum(counts)
+    at = np.arange(len(of)) + (np.cumsum(units_of) - units_of - (ends - counts))[of]
+    key = np.array([keys[k] for k in those], dtype=np.uint64)
+    same = group_windows(u, at, np.cumsum(np.append(False, key[1:] != key[:-1])))
+    lowest = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(lowest, same, np.array([firsts[k] for k in those], dtype=np.int64)[of])
+    for k, a, z in zip(those, ends - counts, ends, strict=True):
+        yield k, lowest[same[a:z]]
+
+
+def _cut_again(those, strings, firsts, units, width, seed, group_windows, block, most):
+    longer = min(width, seed + max(1, (width - seed + 1) // 2))
+    found: dict[tuple[int, bytes], int] = {}  # (minimiser, string): the least document
+    parts = []  # (minimiser, string, owner, window of the owner)
+    least = {}
+    for at in range(0, len(those), 1000):
+        some = those[at : at + 1000]
+        u = units([strings[k] for k in some])
+        r = runs_of(u, width, longer, 1, salt=np.uint64(0x9E6C63D0676A9A99 * longer % (1 << 64)))
+        units_of = np.bincount(u.text, minlength=len(some))
+        base, raw = np.cumsum(units_of) - units_of, u.data.tobytes()
+        least |= {k: np.empty(n - width + 1, np.int64) for k, n in zip(some, units_of.tolist(), strict=True)}
+        for key, a, z, w in zip(r.key.tolist(), r.start.tolist(), r.end.tolist(), r.first.tolist(), strict=True):
+            text = int(u.text[w])
+            k, s = some[text], raw[a:z]
+            found[key, s] = min(firsts[k], found.get((key, s), firsts[k]))
+            parts.append((key, s, k, w - int(base[text])))
+    names = sorted(found)
+    place = {name: i for i, name in enumerate(names)}
+    decided = dict(least_documents([n[0] for n in names], [n[1] for n in names], [found[n] for n in names], units, width, longer, group_windows, block, most))
+    stops: dict[int, list] = {}
+    for key, s, k, w in parts:
+        stops.setdefault(k, []).append((w, (key, s)))
+    for k, pieces in stops.items():
+        pieces.sort()
+        for (w, name), stop in zip(pieces, [*(p[0] for p in pieces[1:]), len(least[k])], strict=True):
+            got = decided[place[name]]
+            least[k][w:stop] = found[name] if got is None else got
+        yield k, least[k]
+
+
 def shared_windows(docs: DataFrame, *, units: Callable, width: int, seed: int, group_windows: Callable, finish: Callable, schema: str, id_col: str, text_col: str) -> DataFrame:
     """Rows that `finish(ids, real, texts, units, covered)` makes of each slice of texts: a RecordBatch of `schema`.
 
     covered: of each unit, whether a window over it also starts in a document with a smaller id. Rows with a null id
-    neither cover nor are covered. Rows of one id are one document. group_windows(windows, data): see decide()."""
+    neither cover nor are covered. Rows of one id are one document. group_windows(units, first units of the windows, the
+    minimiser's number of each string): a class number for each window, equal where windows of a minimiser are."""
     spark = docs.sparkSession
-    n = partitions(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("_text"))
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    n = max(partitions(spark), -(-size // SHARE))
     label = labels_of(n)
     number = {int(x): k for k, x in enumerate(label)}
     labels = F.array(*(F.lit(int(x)) for x in label))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("_text"))
     dealt = by_bucket(rows.withColumn("_task", F.get(labels, F.pmod(F.xxhash64("_id", F.octet_length("_text")), F.lit(n)).cast("int"))), n, "_task")
 
     def deal(batches):
@@ -265,64 +343,43 @@ def shared_windows(docs: DataFrame, *, units: Callable, width: int, seed: int, g
         return pa.Table.from_batches([_batch(rows, names)])
 
     def decide(batches):
-        entries = []  # (minimiser, string, least, greatest, task)
-        bucket = 0
+        held: dict[int, list] = {}
         for batch in batches:
             for b, t, x in zip(*(batch.column(c).to_pylist() for c in ("_bucket", "_from", "_blob")), strict=True):
-                bucket = number[b]
-                key, least, spread, length, tail = _unpack(x, np.uint8, np.int64, np.int64, np.uint32)
-                ends = np.cumsum(length.astype(np.int64)).tolist()
-                entries += zip(_eight(key).tolist(), (tail[a:z] for a, z in zip([0, *ends], ends, strict=False)), least.tolist(), (least + spread).tolist(), [t] * len(least), strict=True)
-        if not entries:
-            return
+                held.setdefault(number[b], []).append((t, x))
+        for bucket in sorted(held):
+            yield from decided_of(bucket, held.pop(bucket))
+
+    def decided_of(bucket: int, blobs: list):
+        entries = []  # (minimiser, string, least, greatest, task)
+        for t, x in blobs:
+            key, least, spread, length, tail = _unpack(x, np.uint8, np.int64, np.int64, np.uint32)
+            ends = np.cumsum(length.astype(np.int64)).tolist()
+            entries += zip(_eight(key).tolist(), (tail[a:z] for a, z in zip([0, *ends], ends, strict=False)), least.tolist(), (least + spread).tolist(), [t] * len(least), strict=True)
         entries.sort(key=lambda e: (e[0], e[1]))
-        strings, owner, firsts, minimisers = [], [], [], []  # distinct strings
+        keys, strings, firsts, owner = [], [], [], []  # of distinct strings
         for e in entries:
-            if not strings or minimisers[-1] != e[0] or strings[-1] != e[1]:
+            if not strings or keys[-1] != e[0] or strings[-1] != e[1]:
+                keys.append(e[0])
                 strings.append(e[1])
-                minimisers.append(e[0])
                 firsts.append(e[2])
             firsts[-1] = min(firsts[-1], e[2])
             owner.append(len(strings) - 1)
-        minimiser, first = np.array(minimisers, dtype=np.uint64), np.array(firsts, dtype=np.int64)
-        starts = np.flatnonzero(np.append(True, minimiser[1:] != minimiser[:-1]))
-        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(minimiser))))
-        alone = np.bincount(group)[group] == 1
-        # of each string its ranges of windows, each with the least document
-        ranges = [[] for _ in strings]
-        u = units_of_strings(strings)
-        hashes = Hashes(u.data)
-        counts = np.bincount(u.text, minlength=len(strings)) - width + 1
-        base = np.cumsum(np.bincount(u.text, minlength=len(strings))) - np.bincount(u.text, minlength=len(strings))
-        for k in np.flatnonzero(alone).tolist():
-            ranges[k].append((0, int(counts[k]), firsts[k]))
-        many = np.flatnonzero(~alone)
-        if len(many):
-            of = np.repeat(many, counts[many])
-            place = np.arange(len(of)) - np.repeat(np.cumsum(counts[many]) - counts[many], counts[many])
-            at = base[of] + place
-            seen = hashes.of(u.start[at], u.end[at + width - 1])
-            order = np.argsort(seen, kind="stable")
-            edge = np.append(True, seen[order][1:] != seen[order][:-1])
-            size = np.diff(np.append(np.flatnonzero(edge), len(seen)))
-            again = np.zeros(len(seen), bool)
-            again[order] = np.repeat(size > 1, size)
-            least = first[of].copy()
-            repeated = np.flatnonzero(again)  # candidates: equal windows are among them, grouped exactly now
-            if len(repeated):
-                classes = np.zeros(len(seen), np.int64)
-                classes[order] = np.cumsum(edge)
-                same = group_windows(u, at[repeated], of[repeated], classes[repeated])
-                lowest = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
-                np.minimum.at(lowest, same, least[repeated])
-                least[repeated] = lowest[same]
-            cut = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (least[1:] != least[:-1])))
-            stop = np.append(cut[1:], len(of))
-            for a, z in zip(cut.tolist(), stop.tolist(), strict=True):
-                ranges[of[a]].append((int(place[a]), int(place[z - 1]) + 1, int(least[a])))
+        ranges: dict[int, list] = {}  # of each string: ranges of windows, each with the least document
+        for k, least in least_documents(keys, strings, firsts, units, width, seed, group_windows):
+            if least is None:
+                ranges[k] = [(0, _WHOLE, firsts[k])]
+            else:
+                cut = np.append(0, np.flatnonzero(np.diff(least)) + 1)
+                ranges[k] = list(zip(cut.tolist(), [*cut[1:].tolist(), len(least)], least[cut].tolist(), strict=True))
         ends = np.cumsum([len(s) for s in strings])
-        whole = Hashes(np.frombuffer(b"".join(strings), dtype=np.uint8)).of(ends - [len(s) for s in strings], ends)
-        joined = _join_key((np.uint64(bucket) << np.uint64(40)) | minimiser, whole)
+        joined = np.empty(len(strings), np.uint64)
+        for a in range(0, len(strings), _SOME):  # the strings' hashes, as the tasks know them
+            part = strings[a : a + _SOME]
+            begin = ends[a] - len(strings[a])
+            stop = ends[a : a + _SOME] - begin
+            whole = Hashes(np.frombuffer(b"".join(part), dtype=np.uint8)).of(stop - [len(s) for s in part], stop)
+            joined[a : a + _SOME] = _join_key((np.uint64(bucket) << np.uint64(40)) | np.array(keys[a : a + _SOME], dtype=np.uint64), whole)
         replies: dict[int, list] = {}
         for (_, _, _, most, task), k in zip(entries, owner, strict=True):
             for a, z, least in ranges[k]:
@@ -332,11 +389,9 @@ def shared_windows(docs: DataFrame, *, units: Callable, width: int, seed: int, g
         for task, found in replies.items():
             x = np.array(found, dtype=np.int64)
             rows.append((task, _pack(joined[x[:, 0]], x[:, 1].astype(np.uint32), x[:, 2].astype(np.uint32), x[:, 3])))
+        trim()
         yield _batch(rows, ["_task", "_blob"])
 
-    def units_of_strings(strings):
-        return units(strings)
-
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([finish(np.zeros(0, np.int64), np.zeros(0, bool), [], units([]), np.zeros(0, bool))])
@@ -357,7 +412,7 @@ def shared_windows(docs: DataFrame, *, units: Callable, width: int, seed: int, g
                 use = least[at] < doc[u.text[r.first[run]]]
                 run, at = run[use], at[use]
                 np.add.at(change, r.first[run] + a[at], 1)
-                np.add.at(change, r.first[run] + z[at] - 1 + width, -1)
+                np.add.at(change, np.minimum(r.first[run] + z[at] - 1, r.last[run]) + width, -1)
             made.append(finish(doc, real, texts, u, np.cumsum(change)[:-1] > 0))
         trim()
         return pa.Table.from_batches(made)

@@ -18,23 +18,28 @@ from cubeloom.llm.superkmer import Units, shared_windows, spans_of, word_units
 SEED = 4  # words of a seed
 
 
-def find_repeats(docs: DataFrame, *, width: int = 13, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id_col, kept string, n_words long, spans array<struct<start, length>>): one row per row of docs; spans count
-    words, kept are the words outside of them, joined by one blank."""
-    seed = min(SEED, width)
+def same_windows(width: int):
+    """A class number for each window: equal where the words are; windows are sorted and runs of equal ones counted off."""
 
-    def group_windows(u: Units, at: np.ndarray, of: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    def group(u: Units, at: np.ndarray, minimiser: np.ndarray) -> np.ndarray:
         raw = u.data.tobytes()
         windows = [raw[a:z] for a, z in zip(u.start[at].tolist(), u.end[at + width - 1].tolist(), strict=True)]
-        order = sorted(range(len(windows)), key=windows.__getitem__)
-        out, number = np.empty(len(windows), np.int64), -1
-        last = None
-        for k in order:
-            if windows[k] != last:
-                last, number = windows[k], number + 1
+        out, number, last = np.empty(len(windows), np.int64), -1, None
+        key = list(zip(minimiser[u.text[at]].tolist(), windows, strict=True))
+        for k in sorted(range(len(key)), key=key.__getitem__):
+            if key[k] != last:
+                last, number = key[k], number + 1
             out[k] = number
         return out
 
+    return group
+
+
+def find_repeats(docs: DataFrame, *, width: int = 13, id_col="doc_id", text_col="text") -> DataFrame:
+    """(id_col, kept string, n_words long, spans array<struct<start, length>>): one row per row of docs; spans count
+    words, kept are the words outside of them, joined by one blank."""
+    seed = min(SEED, width)
+
     def finish(ids, real, texts, u, covered):
         spans = spans_of(covered, u.text, len(texts))
         raw = u.data.tobytes()
@@ -56,4 +61,4 @@ def find_repeats(docs: DataFrame, *, width: int = 13, id_col="doc_id", text_col=
         )
 
     schema = f"`{id_col}` long, kept string, n_words long, spans array<struct<start:long,length:long>>"
-    return shared_windows(docs, units=word_units, width=width, seed=seed, group_windows=group_windows, finish=finish, schema=schema, id_col=id_col, text_col=text_col)
+    return shared_windows(docs, units=word_units, width=width, seed=seed, group_windows=same_windows(width), finish=finish, schema=schema, id_col=id_col, text_col=text_col)

@@ -5,14 +5,15 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cubeloom.llm import entry, simhash, substring_repeats, window_repeats
+from cubeloom.llm import entry, simhash, substring_repeats, superkmer, window_repeats
 from cubeloom.llm.components import components
-from cubeloom.llm.suffix_array import suffix_array
+from cubeloom.llm.suffix_array import _together, suffix_array, suffix_arrays
 
 
 def rows_of(spark, sf):
@@ -25,6 +26,19 @@ def test_suffix_array(text):
     assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=30), max_size=20))
+def test_suffix_arrays(texts):
+    symbols, lengths = np.array([x for t in texts for x in t], dtype=np.int64), np.array([len(t) for t in texts], dtype=np.int64)
+    want, at = [], 0
+    for t in texts:
+        want += [at + k for k in suffix_array(t)]
+        at += len(t)
+    assert suffix_arrays(symbols, lengths).tolist() == want
+    if texts:
+        assert _together(symbols, lengths).tolist() == want
+
+
 def brute_bytes(rows, width=50):
     first = {}
     for doc, text in rows:
@@ -95,6 +109,44 @@ def test_word_repeats(spark, sf, which):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_words(rows)
 
 
+@pytest.mark.parametrize("module", [substring_repeats, window_repeats])
+def test_many_small_shares(spark, monkeypatch, module):
+    """Texts dealt to more tasks than there are partitions."""
+    monkeypatch.setattr(superkmer, "SHARE", 2_000)
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = module.find_repeats(docs).collect()
+    want = {(r[0], r[1]): r[-1] for r in (brute_bytes if module is substring_repeats else brute_words)(rows)}
+    assert len(got) == len(rows) and {hashlib.sha256(bytes(r["kept"] if module is substring_repeats else r["kept"].encode())).hexdigest() for r in got} == set(want.values())
+
+
+@pytest.mark.parametrize("block", [1, 300, 5_000, 1_000_000])
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_least_documents(block, kind):
+    """A minimiser with many strings is cut again, to the last window where it must be."""
+    rng = random.Random(block)
+    word = lambda: "".join(rng.choice("ab") for _ in range(2))
+    stem = [word() for _ in range(60)]
+    units, width, seed = (superkmer.byte_units, 30, 8) if kind == "bytes" else (superkmer.word_units, 6, 2)
+    group = (lambda u, at, minimiser: substring_repeats.same_windows(u, at, minimiser, width)) if kind == "bytes" else window_repeats.same_windows(width)
+    made = {}
+    for _ in range(80):
+        text = list(stem)
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(60)] = word()
+        made.setdefault((rng.choice([3, 5]), " ".join(text[rng.randint(0, 20) : 40 + rng.randint(0, 20)]).encode()), rng.randint(1, 500))
+    made[9, b"aa bb " * 10] = 4
+    names = sorted(made)
+    least = {}
+    cut = lambda s: [s[i : i + width] for i in range(len(s) - width + 1)] if kind == "bytes" else [tuple(s.split()[i : i + width]) for i in range(len(s.split()) - width + 1)]
+    for key, s in names:
+        for w in cut(s):
+            least[key, w] = min(made[key, s], least.get((key, w), 999))
+    got = dict(superkmer.least_documents([n[0] for n in names], [n[1] for n in names], [made[n] for n in names], units, width, seed, group, block, block))
+    assert got.pop(names.index((9, b"aa bb " * 10))) is None
+    assert {k: v.tolist() for k, v in got.items()} == {k: [least[key, w] for w in cut(s)] for k, (key, s) in enumerate(names) if key != 9}
+
+
 def test_queries_match_brute_force(spark, sf):
     rows = rows_of(spark, sf)
     assert sorted((tuple(r) for r in entry.op7_suffix_dedup(spark, sf).collect()), key=str) == brute_bytes(rows)
