@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cubeloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -29,6 +31,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many more underscores in front as no column of df needs (letters' case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,12 +77,29 @@ def held_out(id_col: str, mod: int, remainder: int):
 
 
 def sampled_ids(labels: DataFrame, id_col: str, label_col: str, max_rows: int, where=None) -> DataFrame:
-    """At most max_rows labelled ids, chosen by a hash of the id: the same ones whatever the row order."""
+    """At most max_rows labelled ids, chosen by a hash of the id: the same ones whatever the row order. An id labelled 0
+    and 1 is not used."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     if where is not None:
         rows = rows.where(where)
-    rows = rows.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropDuplicates(["_id"])
-    return rows.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    rows = rows.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("_label"), F.max(F.col(label_col).cast("int")).alias("_most"))
+    return rows.where("_label = _most").select("_id", "_label").orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+
+
+def bounded_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, where, max_rows: int, max_bytes: int) -> DataFrame:
+    """(_id, _label, _text binary) of sampled_ids, written to the shared folder: texts whole, in the order of the ids'
+    hashes as far as max_bytes goes (one at least); of rows with one id the least text; null texts are empty."""
+    ids = sampled_ids(labels, id_col, label_col, max_rows, where)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+    rows = rows.join(F.broadcast(ids), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    kept = materialize(rows, "sample")
+    sizes = sorted((r[0], r[1], r[2]) for r in kept.select(F.xxhash64("_id"), "_id", F.octet_length("_text")).collect())
+    total = np.cumsum([s for _, _, s in sizes])
+    if len(sizes) and total[-1] > max_bytes:
+        first = [r[1] for r in sizes[: max(1, int(np.searchsorted(total, max_bytes, side="right")))]]
+        few = docs.sparkSession.createDataFrame([(x,) for x in first], f"_id {kept.schema['_id'].dataType.simpleString()}")
+        kept = kept.join(F.broadcast(few), "_id", "left_semi").select("_id", "_label", "_text")
+    return kept
 
 
 def bytes_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

@@ -10,12 +10,14 @@ Every match of `min_match` words or more lies in runs of shared seeds, so the do
 and an item is passed over only if even its seeded words stay below the threshold.
 
 Nulls: null or empty texts match nothing; items of fewer than `min_match` words have no seed and match nothing; items
-with a null id are not used. Repeated documents are judged each on its own, repeated items each by their id. No
-benchmark or no documents: no rows.
+with a null id are not used. Item ids are integers or text that reads as such. Repeated documents are judged each on its
+own, repeated items each by their id. No documents: no rows; no benchmark: no hits. A text of any length is one row's
+work. A column of the result's name is replaced; all others stay.
 """
 
 from __future__ import annotations
 
+import heapq
 import string
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import bytes_of, mix64, tidied
+from cubeloom.llm._common import bytes_of, mix64, tidied, unused
 
 MOST_BENCHMARK_BYTES = 16 << 20  # of benchmark text that is broadcast at a time
 _TABLE = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_uppercase else 32 if chr(b) in string.punctuation else b for b in range(256))
@@ -82,17 +84,27 @@ def tile(a: list[int], b: list[int], min_match: int) -> list[tuple[int, int, int
         if more:
             length = more
             continue
-        for size, s, p in sorted(found, key=lambda m: (-m[0], m[1], m[2])):  # the longest first, then the earliest
+        queue = [(-size, s, p) for size, s, p in found]  # the longest first, then the earliest
+        heapq.heapify(queue)
+        while queue:
+            size, s, p = heapq.heappop(queue)
+            size = -size
             if all(free_a[s : s + size]) and all(free_b[p : p + size]):
                 tiles.append((size, s, p))
                 free_a[s : s + size] = [False] * size
                 free_b[p : p + size] = [False] * size
-            # what an earlier tile has shortened is found anew at a smaller length
+                continue
+            k = 0
+            while k < size:  # what earlier tiles have left of it goes back into the queue
+                run = 0
+                while k + run < size and free_a[s + k + run] and free_b[p + k + run]:
+                    run += 1
+                if run >= length:
+                    heapq.heappush(queue, (-run, s + k, p + k))
+                k += run + 1
         if length == min_match:
-            if not found:
-                return tiles
-        else:
-            length = max(min_match, length // 2 if not found else length - 1)
+            return tiles
+        length = max(min_match, length // 2)
 
 
 class Benchmark:
@@ -161,8 +173,8 @@ class Benchmark:
         return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", min_match: int = 5, threshold: float = 0.8, most_bytes: int = MOST_BENCHMARK_BYTES) -> DataFrame:
-    """docs with a column `contamination`: array of (item, coverage, longest), empty for clean ones. No shuffle.
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", min_match: int = 5, threshold: float = 0.8, most_bytes: int = MOST_BENCHMARK_BYTES, out_col="contamination") -> DataFrame:
+    """docs with a column out_col: array of (item, coverage, longest), empty for clean ones. No shuffle.
 
     The benchmark is broadcast in blocks of at most `most_bytes` of text (one item at least), whose number follows the
     benchmark's measured size; the documents pass each block in turn, so its size has no limit."""
@@ -171,19 +183,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", tex
     total = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     blocks = max(1, -(-total * 2 // most_bytes)) if total > most_bytes else 1
     kind = "array<struct<item:bigint,coverage:double,longest:int>>"
-    out = docs
+    out = docs.drop(out_col)
+    made = unused(out, *(f"_tiles{b}" for b in range(blocks)))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toArrow().sort_by([("item", "ascending"), ("body", "ascending")])
         held = docs.sparkSession.sparkContext.broadcast(Benchmark(list(zip(rows["item"].to_pylist(), rows["body"].to_pylist(), strict=True)), min_match))
-        column = f"_tiles{block}"
+        column = made[block]
         keep = out.columns
 
-        def apply(batches, held=held, keep=keep):
+        def apply(batches, held=held, keep=keep, column=column):
             for batch in batches:
                 got = [[dict(zip(("item", "coverage", "longest"), m, strict=True)) for m in held.value.matches(t, threshold)] for t in bytes_of(batch.column(batch.schema.get_field_index(text_col)))]
                 kind = pa.list_(pa.struct([("item", pa.int64()), ("coverage", pa.float64()), ("longest", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], [*keep, column])
 
         out = out.mapInArrow(tidied(apply), out.withColumn(column, F.lit(None).cast(kind)).schema)
-    made = [f"_tiles{b}" for b in range(blocks)]
-    return out.withColumn("contamination", F.concat(*made)).drop(*made)
+    return out.withColumn(out_col, F.concat(*made)).drop(*made)

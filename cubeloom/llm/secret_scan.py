@@ -7,7 +7,8 @@ Spark's library; its trees are then written as CASE expressions, so scoring is p
 candidates stay in an array on their row, and there is no shuffle, UDF or join.
 
 Nulls: a null text has no candidates; a null path counts as an empty one; labelled findings with a null value or label
-are not used. Repeated rows are scanned each. Longer runs than 512 characters are taken in pieces of 512.
+are not used. Repeated rows are scanned each. Longer runs than 512 characters are taken in pieces of 512; texts of any
+length are read whole. An empty table gives no rows. A column of the result's name is replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubeloom.llm._common import unused
+
 TOKEN = r"[A-Za-z0-9+/_\-]"
 #: A candidate starts where no token character precedes it, or right after 512 others; a digit is near enough to be seen.
 CANDIDATE = rf"((?:(?<!{TOKEN})|\G)(?={TOKEN}{{0,511}}[0-9]){TOKEN}{{16,512}})"
@@ -97,7 +100,7 @@ def scan(docs: DataFrame, forest: list[str], *, text_col="text", path_col: str |
     """docs with an array of the secrets found: start (characters, from 0), value, kind, score. In text order."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    cand, part, rows = "_candidates", "_parts", "_rows"
+    cand, part, rows = unused(docs, "_candidates", "_parts", "_rows")
     found = docs.withColumn(cand, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(1)))
     # the text between candidates, only where there are any
     found = found.withColumn(part, F.when(F.size(cand) > 0, F.split(text, CANDIDATE, -1)))

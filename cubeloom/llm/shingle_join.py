@@ -7,6 +7,9 @@ pairs pass the bounds of sizes, positions and parity bits, which lose no pair, a
 The first round pairs each shingle's holders with one of them, the second those that are still in different components.
 
 Words as in SimHash; a text of fewer than five has one shingle, its whole word sequence. Shingles are 64-bit hashes.
+
+Null texts are empty; texts without words link as their fingerprints do. Rows with a null id link like any other. Texts
+of any length are read whole. No rows: no groups. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -88,11 +91,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * _WORDS - 1), minlength=64 * _WORDS) & 1
                     parity[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_col), _signed([fingerprint(t, 3) for t in texts]), _signed([_key(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), _lists(first), *(_signed(parity[:, k].copy()) for k in range(_WORDS))],
-                    [id_col, "fp", "key", "size", "first", *_BITS],
+                    [batch.column("_id"), batch.column("_hash"), _signed([fingerprint(t, 3) for t in texts]), _signed([_key(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), _lists(first), *(_signed(parity[:, k].copy()) for k in range(_WORDS))],
+                    [id_col, "text_hash", "fp", "key", "size", "first", *_BITS],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(tidied(apply), f"`{id_col}` {kind}, fp long, key long, size int, first array<long>, " + ", ".join(f"{b} long" for b in _BITS))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias(text_col), F.xxhash64(text_col).alias("_hash"))
+    return rows.mapInArrow(tidied(apply), f"`{id_col}` {kind}, text_hash long, fp long, key long, size int, first array<long>, " + ", ".join(f"{b} long" for b in _BITS))
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
@@ -122,7 +126,8 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, text_col: str)
 
 
 def near_copies(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id_col, component_id): one row per row of docs; component_id is the least non-null id linked."""
+    """(id_col, text_hash, component, component_id): one row per row of docs; text_hash is the text's xxhash64, component
+    names the group and component_id is its least non-null id (two groups may have rows of one id)."""
     rows = materialize(_sets(docs, id_col, text_col), "sets")
     linked = components(links(rows.select("fp").distinct()))
     roots = rows.select("key", "fp").distinct().join(linked, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
@@ -151,4 +156,5 @@ def near_copies(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFra
     named = roots.select("fp", "root").distinct().join(last.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("fp", F.coalesce("top", "root").alias("top"))
     named = materialize(named, "tops")
     least = rows.join(named, "fp").groupBy("top").agg(F.min(id_col).alias("component_id"))
-    return rows.select(id_col, "fp").join(named.join(least, "top").select("fp", "component_id"), "fp").select(id_col, "component_id")
+    found = named.join(least, "top").select("fp", F.col("top").alias("component"), "component_id")
+    return rows.select(id_col, "text_hash", "fp").join(found, "fp").select(id_col, "text_hash", "component", "component_id")

@@ -1,10 +1,11 @@
 """Exact top-k search: tiled matrix products, a partial selection per tile, and a tree merge of the best lists.
 
 Component x of a vector becomes floor(256 * x). Candidates are dealt to shards and queries to groups by a hash of their
-id, both of bounded size; a (shard, group) cell multiplies its query matrix with its candidate matrix tile by tile and
+id, both of bounded bytes; a (shard, group) cell multiplies its query matrix with its candidate matrix tile by tile and
 keeps each query's k best of the tile. The lists of a query then merge in rounds of bounded fan-in.
 
-Scores are exact integers: products run in float64 while every partial sum is below 2^53, else in Python integers.
+Scores are exact integers: products run in float64 while every partial sum is below 2^53, else in Python integers. A
+score that 64 bits can't hold is given, and ranked, as the nearest that they can. Ids are integers or text that reads as such.
 Vectors that are null, empty or hold null or non-finite components, and rows with a null id, take no part. Vectors of
 different lengths have no product and never meet. Ties go to the smaller id; a row is no candidate of the query with
 its own id; repeated ids are ranked as separate candidates. A query with no candidate has no rows.
@@ -12,13 +13,16 @@ its own id; repeated ids are ranked as separate candidates. A query with no cand
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD = 8_192  # candidates of a shard, about
-GROUP = 65_536  # queries of a group, about
+SHARD = 32 << 20  # bytes of candidates of a shard, about
+GROUP = 32 << 20  # bytes of queries of a group, about
+LEAST = 2_048  # candidates of a shard while there are fewer shards than cores
 TILE = 1024
 FAN = 64
 
@@ -26,7 +30,9 @@ FAN = 64
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, dim, v): floor(256 * x) as a list of doubles, rows that take part only."""
     x = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e * 256.0).cast("double")).alias("v"), x.alias("x"))
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)  # noqa: E731  larger doubles are whole
+    scaled = lambda e: whole(F.greatest(F.least(e * 256.0, F.lit(sys.float_info.max)), F.lit(-sys.float_info.max)))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(x, scaled).alias("v"), x.alias("x"))
     bad = F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf"))))
     return rows.where(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & ~bad).select("id", F.size("v").alias("dim"), "v")
 
@@ -53,15 +59,16 @@ def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
                     least = np.partition(line[at], len(at) - k)[len(at) - k]
                     at = at[line[at] >= least]
                 for j in at[np.argsort(-line[at], kind="stable")[:k]]:
-                    lists.append((ids[r], part[j], int(line[j])))
+                    lists.append((ids[r], part[j], max(-(1 << 63), min((1 << 63) - 1, int(line[j])))))
         yield pd.DataFrame(lists, columns=["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col="vec_id", vector_col="embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries its k best candidates among vectors."""
     c, q = quantised(vectors, id_col, vector_col), quantised(queries, id_col, vector_col)
-    shards = max(1, -(-c.count() // SHARD))
-    groups = max(1, -(-q.count() // GROUP))
+    rows, numbers = c.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    shards = max(1, -(-8 * numbers // SHARD), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-rows // LEAST)))
+    groups = max(1, -(-8 * (q.agg(F.sum("dim")).first()[0] or 0) // GROUP))
     c = c.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     q = q.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     keys = ["dim", "shard", "group"]

@@ -1,16 +1,24 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Texts are lower-cased (A-Z) UTF-8; their n-grams of 3 to 5 bytes, with padding at both ends, are hashed to a fixed
+Texts are lower-cased (A-Z) UTF-8; their n-grams of 4, 6 and 8 bytes, with padding at both ends, are hashed to a fixed
 number of features that are present or absent. Training counts each feature's presence in toxic and other texts, takes
 the log ratio of the smoothed, normalised counts, and fits a logistic regression on presence times ratio. Scoring sums
-the weights of a text's distinct features.
+the weights of a text's distinct features. How rare a feature's split may be by chance (chi square) and how strongly
+weights are held down are chosen by cross-validation inside the training rows.
 
-Nulls: a null text scores as an empty one. Labels other than 0 and 1 and labels of null ids are not used. Without
-labels of both kinds every text gets the (smoothed) share of toxic labels. Repeated rows are scored each on its own.
+The sample to learn from has at most `max_rows` texts and `max_bytes` bytes. Features are made on the executors; counts
+and the few features in use come to the driver.
+
+Nulls: a null text scores as an empty one. Labels other than 0 and 1 and labels of null ids are not used, nor are those
+of ids that are labelled both. Of rows with one id the least text is learned from. Without labels of both kinds every
+text gets the (smoothed) share of toxic labels. Repeated rows are scored each on its own. Texts of any length are read
+whole: one after another in pieces of bounded size, a feature of a text once. Of docs' columns only score_col is
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import bytes_of, sampled_ids, slices, tidied
+from cubeloom.llm._common import bounded_texts, bytes_of, slices, tidied
 
-ORDERS = (3, 4, 5)
-BITS = 18
+ORDERS = (4, 6, 8)
+BITS = 20
+FOLDS = 4
+CHANCE, RIDGE = (12.0, 40.0), (1e-4, 1e-3, 1e-2)  # tried in cross-validation: least chi square, penalty
 PAD = b"\x00" * (max(ORDERS) - 1)
+PIECE = 1 << 20  # bytes of a long text at a time
 
 
 @dataclass(frozen=True)
@@ -31,23 +42,32 @@ class LinearModel:
     bias: float
 
 
-def _features(texts: list[bytes], used: np.ndarray | None = None):
-    """(text, feature) of each distinct feature of each text, those marked in `used` only."""
-    joined = np.frombuffer(PAD + b"".join(t.lower() + PAD for t in texts), dtype=np.uint8).astype(np.uint32)
-    ends = np.cumsum([len(t) + len(PAD) for t in texts])
+def _keys(joined: np.ndarray, ends: np.ndarray, used: np.ndarray | None):
     keys = []
     with np.errstate(over="ignore"):
-        for n in ORDERS:
-            code = np.full(len(joined) - n + 1, n, dtype=np.uint32)
-            for k in range(n):
-                code = code * np.uint32(0x01000193) + joined[k : k + len(code)]
-            code ^= code >> np.uint32(15)
-            code *= np.uint32(0x85EBCA6B)
-            feature = code >> np.uint32(32 - BITS)
+        code = np.full(len(joined), 0x811C9DC5, dtype=np.uint32)
+        for n in range(1, max(ORDERS) + 1):
+            code = code[: max(0, len(joined) - n + 1)] * np.uint32(0x01000193) + joined[n - 1 :]
+            if n not in ORDERS:
+                continue
+            feature = code ^ (code >> np.uint32(15))
+            feature = (feature * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
             at = np.arange(len(feature)) if used is None else np.flatnonzero(used[feature])
-            text = np.searchsorted(ends, at + n - 1 - len(PAD), side="right").clip(0, len(texts) - 1)
+            text = np.searchsorted(ends, at + n - 1 - len(PAD), side="right").clip(0, len(ends) - 1)
             keys.append((text.astype(np.int64) << BITS) | feature[at])
-    keys = np.unique(np.concatenate(keys))
+    return np.unique(np.concatenate(keys))
+
+
+def _features(texts: list[bytes], used: np.ndarray | None = None):
+    """(text, feature) of each distinct feature of each text, those marked in `used` only."""
+    joined = np.frombuffer(PAD + b"".join(t.lower() + PAD for t in texts), dtype=np.uint8)
+    ends = np.cumsum([len(t) + len(PAD) for t in texts])
+    if len(texts) == 1 and len(joined) > PIECE:
+        over = max(ORDERS) - 1
+        parts = [_keys(joined[a : a + PIECE + over].astype(np.uint32), np.array([len(joined)]), used) for a in range(0, len(joined) - over, PIECE)]
+        keys = np.unique(np.concatenate(parts))
+    else:
+        keys = _keys(joined.astype(np.uint32), ends, used)
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
@@ -55,53 +75,145 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(texts: list[bytes], labels: list[int], most_features: int = 20_000, steps: int = 200) -> LinearModel:
-    y = np.asarray(labels, dtype=np.float64)
-    rate = (y.sum() + 1) / (len(y) + 2)
-    if not len(y) or y.min() == y.max():
-        return LinearModel(np.zeros(1 << BITS, dtype=np.float32), float(np.log(rate / (1 - rate))))
-    counts = np.zeros((2, 1 << BITS))
+def _counted(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
+    """Texts that have each feature, by fold and label."""
+    counts = np.zeros((2 * FOLDS, 1 << BITS), dtype=np.int32)
+    group = np.array([2 * (zlib.crc32(t) % FOLDS) for t in texts], dtype=np.int64) + labels
     for a, b in slices(texts):
         doc, feature = _features(texts[a:b])
-        for k in (0, 1):
-            counts[k] += np.bincount(feature[y[a:b][doc] == k], minlength=1 << BITS)
-    share = (counts + 1.0) / (counts.sum(axis=1, keepdims=True) + (1 << BITS))
-    ratio = np.log(share[1] / share[0])
-    n1, n0 = y.sum(), len(y) - y.sum()
-    seen = counts.sum(axis=0)
-    expected = seen * n1 / len(y)
-    chi = (counts[1] - expected) ** 2 / np.maximum(expected * (1 - seen / len(y)) * n0 / len(y), 1e-9)
-    chi[(seen < 2) | (seen >= len(y))] = 0
-    used = np.zeros(1 << BITS, dtype=bool)
-    used[np.argsort(-chi, kind="stable")[:most_features]] = True
-    used &= chi > 4.0
-    docs, cols = [], []
-    for a, b in slices(texts):
-        doc, feature = _features(texts[a:b], used)
-        docs.append(doc + a)
-        cols.append(feature)
-    doc, col = np.concatenate(docs), np.concatenate(cols)
-    place = np.cumsum(used) - 1
-    col, scale = place[col], ratio[used]
-    value = scale[col]
-    w, b = np.zeros(len(scale)), float(np.log(n1 / n0))
-    m1, v1 = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
-    weight = np.where(y == 1, 0.5 * len(y) / n1, 0.5 * len(y) / n0)
-    weight = 0.5 + 0.5 * weight
-    for step in range(1, steps + 1):  # Adam on the regularised logistic loss
-        p = _sigmoid(np.bincount(doc, weights=w[col] * value, minlength=len(y)) + b)
-        g = weight * (p - y) / len(y)
-        grad = np.append(np.bincount(col, weights=g[doc] * value, minlength=len(w)) + 1e-4 * w, g.sum())
-        m1 = 0.9 * m1 + 0.1 * grad
-        v1 = 0.99 * v1 + 0.01 * grad**2
-        move = 0.03 * (m1 / (1 - 0.9**step)) / (np.sqrt(v1 / (1 - 0.99**step)) + 1e-8)
-        w -= move[:-1]
-        b -= float(move[-1])
+        for k in np.unique(group[a:b]):
+            counts[k] += np.bincount(feature[group[a:b][doc] == k], minlength=1 << BITS).astype(np.int32)
+    return counts
+
+
+def _choice(counts: np.ndarray, totals: np.ndarray, n: np.ndarray, chance: float, most: int):
+    """The features in use and their ratios. By label: counts of the features, their totals, texts."""
+    share = (counts + 1.0) / (totals[:, None] + (1 << BITS))
+    seen, total = counts.sum(axis=0), n.sum()
+    expected = seen * (n[1] / total)
+    chi = (counts[1] - expected) ** 2 / np.maximum(expected * (1 - seen / total) * n[0] / total, 1e-9)
+    chi[(seen < 2) | (seen >= total)] = 0
+    used = np.argsort(-chi, kind="stable")[:most]
+    used = np.sort(used[chi[used] > chance])
+    return used, np.log(share[1, used] / share[0, used])
+
+
+def _solve(start: np.ndarray, column: np.ndarray, ratio: np.ndarray, y: np.ndarray, ridge: float, steps: int = 60):
+    """Weights and bias of the regularised logistic regression; text i has the features column[start[i]:start[i + 1]].
+    L-BFGS with halved steps."""
+    length = np.diff(start)
+    some = np.flatnonzero(length > 0)  # reduceat can't sum nothing
+
+    def value(x):
+        z = np.full(len(y), x[-1])
+        if len(some):
+            z[some] += np.add.reduceat((x[:-1] * ratio)[column], start[some])
+        p = _sigmoid(z)
+        loss = float(np.mean(np.logaddexp(0, z) - y * z) + 0.5 * ridge * (x[:-1] @ x[:-1]))
+        g = (p - y) / len(y)
+        return loss, np.append(np.bincount(column, weights=np.repeat(g, length), minlength=len(ratio)) * ratio + ridge * x[:-1], g.sum())
+
+    x = np.append(np.zeros(len(ratio)), np.log(y.sum() / (len(y) - y.sum())))
+    loss, grad = value(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, a = grad.copy(), []
+        for s, t in reversed(past):
+            a.append((s @ d) / (s @ t))
+            d -= a[-1] * t
+        if past:
+            d *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, t), k in zip(past, reversed(a), strict=True):
+            d += s * (k - (t @ d) / (s @ t))
+        size = 1.0 if past else min(1.0, 1.0 / max(np.abs(grad).max(), 1e-12))
+        for _ in range(20):
+            new, new_grad = value(x - size * d)
+            if new <= loss - 1e-4 * size * (grad @ d):
+                break
+            size /= 2
+        else:
+            break
+        s, t = -size * d, new_grad - grad
+        done = loss - new < 1e-7 * max(1.0, abs(loss))
+        x, loss, grad = x + s, new, new_grad
+        if s @ t > 1e-12:
+            past = [*past[-6:], (s, t)]
+        if done:
+            break
+    return x[:-1], float(x[-1])
+
+
+def _fitted(counts: np.ndarray, totals: np.ndarray, folds: np.ndarray, y: np.ndarray, rows_of, most_features: int) -> LinearModel:
+    """counts: see _counted; totals: their sums. rows_of(used): (start, place in used) of each text's features, in the order of y."""
+    n = np.array([[np.sum((folds == f) & (y == k)) for k in (0, 1)] for f in range(FOLDS)])
+    by_label, totals = counts.reshape(FOLDS, 2, -1), totals.reshape(FOLDS, 2)
+    rate = (y.sum() + 1) / (len(y) + 2)
+    plain = LinearModel(np.zeros(1 << BITS, dtype=np.float32), float(np.log(rate / (1 - rate))))
+    if not len(y) or y.min() == y.max():
+        return plain
+    whole, total = by_label.sum(axis=0), totals.sum(axis=0)
+    choices = {c: _choice(whole, total, n.sum(axis=0), c, most_features) for c in CHANCE}
+    choices = {c: found for c, found in choices.items() if len(found[0])}
+    if not choices:
+        return plain
+    tried = {}
+    for f in range(FOLDS):
+        if (n.sum(axis=0) - n[f]).min() and n[f].sum():
+            for c in choices:
+                tried[f, c] = _choice(whole - by_label[f], total - totals[f], n.sum(axis=0) - n[f], c, most_features)
+    union = np.unique(np.concatenate([u for u, _ in [*choices.values(), *tried.values()]]))
+    start, column = rows_of(union)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(start))
+
+    def part(rows, used):
+        """The rows' features in use, with new places."""
+        place = np.full(len(union), -1, dtype=np.int32)
+        place[np.searchsorted(union, used)] = np.arange(len(used))
+        at = place[column]
+        keep = (at >= 0) & rows[doc]
+        count = np.bincount(doc[keep], minlength=len(y))[rows]
+        return np.append(0, np.cumsum(count)), at[keep]
+
+    loss = {(c, r): 0.0 for c in choices for r in RIDGE}
+    for (f, c), (used, ratio) in tried.items():
+        learn, test = part(folds != f, used), part(folds == f, used)
+        for r in RIDGE:
+            w, b = _solve(*learn, ratio, y[folds != f], r)
+            z = np.bincount(np.repeat(np.arange(len(test[0]) - 1), np.diff(test[0])), weights=(w * ratio)[test[1]], minlength=len(test[0]) - 1) + b
+            loss[c, r] += float(np.sum(np.logaddexp(0, z) - y[folds == f] * z))
+    chance, ridge = min(loss, key=lambda k: (loss[k], -k[1], -k[0]))
+    used, ratio = choices[chance]
+    w, b = _solve(*part(np.ones(len(y), bool), used), ratio, y, ridge)
     weights = np.zeros(1 << BITS, dtype=np.float32)
-    weights[used] = w * scale
+    weights[used] = w * ratio
     return LinearModel(weights, b)
 
 
+def _sparse(texts: list[bytes], union: np.ndarray):
+    """Of each text the places in union of the features it has."""
+    mark = np.zeros(1 << BITS, dtype=bool)
+    mark[union] = True
+    out = []
+    for a, b in slices(texts):
+        doc, feature = _features(texts[a:b], mark)
+        cuts = np.searchsorted(doc, np.arange(b - a + 1))
+        at = np.searchsorted(union, feature).astype(np.int32)
+        out += [at[x:z] for x, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
+
+def _joined(parts: list[np.ndarray]):
+    return np.cumsum([0, *map(len, parts)]), np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+
+def train(texts: list[bytes], labels: list[int], most_features: int = 20_000) -> LinearModel:
+    """The whole fit in one place."""
+    y = np.asarray(labels, dtype=np.int64)
+    folds = np.array([zlib.crc32(t) % FOLDS for t in texts], dtype=np.int64)
+    counts = _counted(texts, y)
+    return _fitted(counts, counts.sum(axis=1), folds, y, lambda union: _joined(_sparse(texts, union)), most_features)
+
+
 def score_texts(model: LinearModel, texts: list[bytes]) -> np.ndarray:
     out = np.empty(len(texts))
     used = model.weights != 0
@@ -111,14 +223,44 @@ def score_texts(model: LinearModel, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", where=None, max_rows: int = 6000) -> LinearModel:
-    """Fits on at most `max_rows` labelled documents (whole texts), picked by a hash of their id among those that meet
-    `where`. The sample is bounded, so it is trained on the driver."""
-    ids = sampled_ids(labels, id_col, label_col, max_rows, where)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id")
-    got = rows.select("_id", F.coalesce("_text", F.lit("")).cast("binary").alias("_text"), "_label").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
-    return train(got["_text"].to_pylist(), got["_label"].to_pylist())
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", where=None, max_rows: int = 6000, max_bytes: int = 32 << 20, most_features: int = 20_000) -> LinearModel:
+    """Fits on at most `max_rows` labelled documents and `max_bytes` of text (whole texts, one at least), picked by a hash
+    of their id among those that meet `where`."""
+    sample = bounded_texts(docs, labels, id_col, text_col, label_col, where, max_rows, max_bytes)
+
+    def count(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                more = _counted(bytes_of(batch.column("_text")), np.array(batch.column("_label").to_pylist(), dtype=np.int64))
+                total = more if total is None else total + more
+        if total is not None:  # feature -1: the totals
+            seen = np.flatnonzero(total.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, seen), pa.int32()), *(pa.array(np.append(t.sum(dtype=np.int64), t[seen]), pa.int64()) for t in total)], names)
+
+    names = ["feature", *(f"n{k}" for k in range(2 * FOLDS))]
+    made = sample.mapInArrow(tidied(count), "feature int, " + ", ".join(f"{n} long" for n in names[1:]))
+    summed = made.groupBy("feature").agg(*(F.sum(n).cast("int").alias(n) for n in names[1:])).where(" + ".join(names[1:]) + " > 1").toArrow()
+    counts, totals = np.zeros((2 * FOLDS, 1 << BITS), dtype=np.int32), np.zeros(2 * FOLDS, dtype=np.int64)
+    feature = summed["feature"].to_numpy()
+    for k in range(2 * FOLDS):
+        column = summed[f"n{k}"].to_numpy()
+        counts[k, feature[feature >= 0]] = column[feature >= 0]
+        totals[k] = column[feature < 0].sum()
+    fold = F.crc32("_text") % FOLDS
+    head = sample.select("_id", "_label", fold.cast("int").alias("_fold")).toArrow().sort_by("_id")
+
+    def rows_of(union: np.ndarray):
+        def sparse(batches):
+            for batch in batches:
+                made = _sparse(bytes_of(batch.column("_text")), union)
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([m.tobytes() for m in made], pa.binary())], ["_id", "_at"])
+
+        kind = sample.schema["_id"].dataType.simpleString()
+        got = sample.mapInArrow(tidied(sparse), f"_id {kind}, _at binary").toArrow().sort_by("_id")
+        return _joined([np.frombuffer(x, np.int32) for x in got["_at"].to_pylist()])
 
+    return _fitted(counts, totals, head["_fold"].to_numpy().astype(np.int64), head["_label"].to_numpy().astype(np.int64), rows_of, most_features)
 
 def score_toxicity(docs: DataFrame, model: LinearModel, *, text_col="text", score_col="score") -> DataFrame:
     """docs with a column score_col: 0 to 1, higher where toxic is likelier. One pass, no shuffle."""
