@@ -2,7 +2,9 @@
 what is left packed into sequences.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-Rows with a null id can't be told apart by it: the near-duplicate stage keeps them.
+Null texts are empty, and stay until packing; texts of any length are taken whole; of repeated rows one stays. Rows with a
+null id can't be told apart by it: the near-duplicate stage keeps them. Columns beside doc_id and text may be missing or
+have any name. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,35 +13,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm import decontaminate, packing, secret_scan, shingle_join, toxicity
-from cubeloom.llm._common import held_out, materialize
+from cubeloom.llm._common import held_out, materialize, unused
 from cubeloom.llm.entry import tokenizer_path, tokenizer_ranks
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. The model is fitted on labelled rows of the stage's own input."""
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), where=~held_out("doc_id", 5, 0))
-    scored = toxicity.score_toxicity(docs, model, score_col="_toxic")
-    return scored.where(F.col("_toxic") < 0.5).select(*docs.columns)
+    (score,) = unused(docs, "_toxic")
+    return toxicity.score_toxicity(docs, model, score_col=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by SimHash or by 0.8 or more of their 5-word shingles the document with the least id stays."""
-    found = shingle_join.near_copies(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """Of each group linked by SimHash or by 0.8 or more of their 5-word shingles the document with the least id stays: of
+    several texts under that id the one with the least hash, of rows alike in both the one with the least hash."""
+    text_hash, row_hash = unused(docs, "_text_hash", "_row_hash")
+    found = shingle_join.near_copies(docs).where(F.col("doc_id").isNotNull())
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select("f.doc_id", F.col("f.text_hash").alias(text_hash)).distinct()
+    kept = docs.withColumn(text_hash, F.xxhash64("text")).join(first, ["doc_id", text_hash], "left_semi")
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    one = kept.withColumn(row_hash, F.xxhash64(*plain)).groupBy("doc_id", text_hash).agg(F.min_by(F.struct(*docs.columns), F.col(row_hash)).alias(row_hash))
+    return one.select(f"{row_hash}.*").unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover a benchmark item to 0.8 or more go."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("contamination") == 0).select(*docs.columns)
+    (hits,) = unused(docs, "_hits")
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col=hits)
+    return found.where(F.size(hits) == 0).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts become [SECRET]; n_chars follows where it is a column. Every document stays."""
     forest = secret_scan.fit_forest(secret_scan.labelled_findings(spark))
-    masked = secret_scan.redact(secret_scan.scan(docs, forest, path_col="source", out="_secrets"), secrets_col="_secrets")
+    (secrets,) = unused(docs, "_secrets")
+    path = "source" if "source" in docs.columns else None
+    masked = secret_scan.redact(secret_scan.scan(docs, forest, path_col=path, out=secrets), secrets_col=secrets)
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         masked = masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
