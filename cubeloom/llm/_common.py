@@ -28,7 +28,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later stages don't depend on this one's executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cubeloom_path = path
+    return out
+
+
+def forget(result: DataFrame, *done: DataFrame) -> DataFrame:
+    """Removes tables of materialize() that nothing reads any more; gives back result."""
+    spark = result.sparkSession
+    for df in done:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._cubeloom_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return result
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -119,6 +130,13 @@ def slices(texts: list[bytes], most: int = 1 << 19):
         yield at, len(texts)
 
 
+def small(batches, rows: int = 500):
+    """The same rows in batches of few: texts are turned into Python objects a few at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def tidied(step):
     """A step for mapInArrow that gives freed memory back to the system when its task ends: workers live on, idle."""
 

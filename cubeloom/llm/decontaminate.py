@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import bytes_of, mix64, tidied, unused
+from cubeloom.llm._common import bytes_of, mix64, small, tidied, unused
 
 MOST_BENCHMARK_BYTES = 16 << 20  # of benchmark text that is broadcast at a time
 _TABLE = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_uppercase else 32 if chr(b) in string.punctuation else b for b in range(256))
@@ -192,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", tex
         keep = out.columns
 
         def apply(batches, held=held, keep=keep, column=column):
-            for batch in batches:
+            for batch in small(batches):
                 got = [[dict(zip(("item", "coverage", "longest"), m, strict=True)) for m in held.value.matches(t, threshold)] for t in bytes_of(batch.column(batch.schema.get_field_index(text_col)))]
                 kind = pa.list_(pa.struct([("item", pa.int64()), ("coverage", pa.float64()), ("longest", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], [*keep, column])

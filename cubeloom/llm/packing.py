@@ -9,7 +9,8 @@ whose room fits best. Planning is on the driver, its input and the plan bounded
 place by their rank among those of their length: the rank within their task, known when it tokenizes, plus the counts
 of the tasks before it. So no hot length is sorted or gathered anywhere.
 
-Null texts are empty; an empty text still has its end token. Repeated rows are packed each. No rows: no pieces.
+Null texts are empty; an empty text still has its end token. Repeated rows are packed each. No rows: no pieces. Texts of
+any length are encoded whole. Ids are integers or text that reads as such. place_pieces keeps all columns of pieces.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import materialize, tidied
+from cubeloom.llm._common import materialize, small, tidied
 
 END = 2
 _RUN = re.compile(r"\s\s|\s\Z")
@@ -90,7 +91,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, ranks_path: str | N
         if "encoder" not in kept.value:
             kept.value["encoder"] = Encoder(tokenizer_path, ranks_path, pattern)
         encoder, task, ranks = kept.value["encoder"], TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in small(batches):
             rows, size = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encoder.encode(text or "") + END.to_bytes(4, "little")
@@ -100,7 +101,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, ranks_path: str | N
                     rank = ranks[length] = ranks.get(length, -1) + 1
                     rows.append((task, doc, piece, at, length, rank, ids[4 * at : 4 * (at + length)]))
                     at, piece, size = at + length, piece + 1, size + 4 * length
-                if size > 16 << 20:
+                if size > 4 << 20:
                     yield made(rows)
                     rows, size = [], 0
             yield made(rows)
@@ -114,10 +115,10 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, ranks_path: str | N
     return materialize(rows.mapInArrow(tidied(cut), "task int, doc long, piece int, start long, length int, local_rank long, ids binary"), "pieces")
 
 
-def plan(counts: dict[int, int], capacity: int, *, groups: int = 16_384, small: int | None = None) -> list[tuple[int, int, int, int, int]]:
+def plan(counts: dict[int, int], capacity: int, *, groups: int = 256, small: int | None = None) -> list[tuple[int, int, int, int, int]]:
     """Places (length, first rank, last rank + 1, first sequence, offset): ranks [a, b) of a length go to the sequences
     first, first + 1, ... at the offset. Every piece has one place; sequences are numbered without gaps."""
-    small = capacity // 16 if small is None else small
+    small = 7 * capacity // 16 if small is None else small
     used, places, sequences = dict.fromkeys(counts, 0), [], 0
     free: dict[int, list[tuple[int, int]]] = {}  # room -> blocks (first sequence, how many)
     rooms: list[int] = []

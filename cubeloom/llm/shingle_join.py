@@ -3,8 +3,10 @@
 SimHash links (3 words, 3 bits) come first: they join most copies with few edges. What they leave apart is found by an
 exact join: of two sets that similar, the first size - ceil(0.8 size) + 1 shingles share one, whatever the common order.
 Shingles that a sample finds often stand last in that order; the sample decides the cost, never the result. Candidate
-pairs pass the bounds of sizes, positions and parity bits, which lose no pair, and are then verified on whole sets.
-The first round pairs each shingle's holders with one of them, the second those that are still in different components.
+pairs pass bounds that lose no pair and are then verified on whole sets.
+The number of first shingles that a pair shares bounds what it can share in all, and so does the distance of parity bits.
+The first round pairs each set with the likeliest first holder of its shingles, the second all that share one and are
+still in different components.
 
 Words as in SimHash; a text of fewer than five has one shingle, its whole word sequence. Shingles are 64-bit hashes.
 
@@ -17,15 +19,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import bytes_of, materialize, mix64, tidied
+from cubeloom.llm._common import bytes_of, forget, materialize, mix64, small, tidied
 from cubeloom.llm.components import components
 from cubeloom.llm.simhash import fingerprint, links
 
 WIDTH = 5
 SAMPLE = 5_000  # documents whose shingles set the order
+MOST_BROADCAST = 1_000_000  # hashes of texts to verify that are broadcast
+FEW = 16  # holders of a shingle that are paired by a join
+BLOCK = 2_048  # holders of a shingle that meet in a task
 _WORDS = 8  # of 64 parity bits
 _BITS = [f"b{k}" for k in range(_WORDS)]
 
@@ -55,18 +60,12 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate(parts) if parts else []))
 
 
-def _slices(batch, rows: int = 500):
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
-
-
 def _common(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that three or more of a sample's documents hold, sorted, and how many."""
 
     def apply(batches):
-        for whole in batches:
-            for batch in _slices(whole):
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate([shingles(t) for t in bytes_of(batch.column(text_col))]))], ["token"])
+        for batch in small(batches):
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate([shingles(t) for t in bytes_of(batch.column(text_col))]))], ["token"])
 
     some = docs.select(text_col).orderBy(F.xxhash64(text_col)).limit(SAMPLE).mapInArrow(tidied(apply), "token long")
     often = some.groupBy("token").count().where("count >= 3").orderBy(F.desc("count"), "token").limit(200_000).collect()
@@ -80,49 +79,84 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def apply(batches):
-        for whole in batches:
-            for batch in _slices(whole):
-                texts = bytes_of(batch.column(text_col))
-                sets, first, parity = [shingles(t) for t in texts], [], np.zeros((len(texts), _WORDS), np.uint64)
-                for i, s in enumerate(sets):
-                    at = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
-                    rank = np.where(often[at] == s, counts[at], 0) if len(often) else np.zeros(len(s), np.int64)
-                    first.append(s[np.lexsort((s, rank))][: len(s) - -(-4 * len(s) // 5) + 1])
-                    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * _WORDS - 1), minlength=64 * _WORDS) & 1
-                    parity[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id"), batch.column("_hash"), _signed([fingerprint(t, 3) for t in texts]), _signed([_key(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), _lists(first), *(_signed(parity[:, k].copy()) for k in range(_WORDS))],
-                    [id_col, "text_hash", "fp", "key", "size", "first", *_BITS],
-                )
+        for batch in small(batches):
+            texts = bytes_of(batch.column(text_col))
+            sets, first, parity = [shingles(t) for t in texts], [], np.zeros((len(texts), _WORDS), np.uint64)
+            for i, s in enumerate(sets):
+                at = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
+                rank = np.where(often[at] == s, counts[at], 0) if len(often) else np.zeros(len(s), np.int64)
+                first.append(s[np.lexsort((s, rank))][: len(s) - -(-4 * len(s) // 5) + 1])
+                odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * _WORDS - 1), minlength=64 * _WORDS) & 1
+                parity[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("_hash"), _signed([fingerprint(t, 3) for t in texts]), _signed([_key(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), _lists(first), *(_signed(parity[:, k].copy()) for k in range(_WORDS))],
+                [id_col, "text_hash", "fp", "key", "size", "first", *_BITS],
+            )
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias(text_col), F.xxhash64(text_col).alias("_hash"))
     return rows.mapInArrow(tidied(apply), f"`{id_col}` {kind}, text_hash long, fp long, key long, size int, first array<long>, " + ", ".join(f"{b} long" for b in _BITS))
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (k1, k2) whose sets are similar to 0.8 or more."""
-    side = lambda k: sets.select(F.col("key").alias(f"k{k}"), F.col("size").alias(f"n{k}"), *(F.col(b).alias(f"{b}_{k}") for b in _BITS))
-    near = pairs.distinct().join(side(1), "k1").join(side(2), "k2")
+def _verified(docs: DataFrame, rows: DataFrame, sets: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs (k1, k2) of (k1, k2, n1, n2) whose sets are similar to 0.8 or more."""
+    side = lambda k: sets.select(F.col("key").alias(f"k{k}"), *(F.col(b).alias(f"{b}_{k}") for b in _BITS))
+    near = pairs.join(side(1), "k1").join(side(2), "k2")
     apart = sum((F.bit_count(F.col(f"{b}_1").bitwiseXOR(F.col(f"{b}_2"))) for b in _BITS), F.lit(0))
     near = materialize(near.where(9 * apart <= F.col("n1") + F.col("n2")).select("k1", "k2", "n1", "n2"), "near")
-    keys = near.select(F.col("k1").alias("key")).union(near.select("k2")).distinct()
-    few = keys.limit(1_000_001).count() <= 1_000_000  # else the joins alone choose
-    wanted = np.sort(np.array([r[0] for r in keys.toLocalIterator()], dtype=np.int64)) if few else None
+    keys = near.select(F.col("k1").alias("key")).union(near.select("k2"))
+    wanted = materialize(rows.join(keys.distinct(), "key", "left_semi").groupBy("key").agg(F.min("text_hash").alias("_wanted")).select("_wanted").distinct(), "wanted")
+    if wanted.count() <= MOST_BROADCAST:  # else by a shuffle
+        wanted = F.broadcast(wanted)
 
     def apply(batches):
         seen = set()
-        for whole in batches:
-            for batch in _slices(whole):
-                made = {_key(s): s for s in map(shingles, bytes_of(batch.column(text_col)))}
-                got = np.array(list(made), dtype=np.uint64)
-                keep = [k for k, w in zip(made, np.isin(got.view(np.int64), wanted) if few else [True] * len(got), strict=True) if w and k not in seen]
-                seen.update(keep)
-                yield pa.RecordBatch.from_arrays([_signed(keep), _lists([made[k] for k in keep])], ["key", "tokens"])
-
-    whole = materialize(docs.select(text_col).mapInArrow(tidied(apply), "key long, tokens array<long>").groupBy("key").agg(F.first("tokens").alias("tokens")), "tokens")
+        for batch in small(batches):
+            made = {_key(s): s for s in map(shingles, bytes_of(batch.column(text_col)))}
+            keep = [k for k in made if k not in seen]
+            seen.update(keep)
+            yield pa.RecordBatch.from_arrays([_signed(keep), _lists([made[k] for k in keep])], ["key", "tokens"])
+
+    texts = docs.select(text_col).join(wanted, F.xxhash64(text_col) == F.col("_wanted"), "left_semi")
+    whole = materialize(texts.mapInArrow(tidied(apply), "key long, tokens array<long>").groupBy("key").agg(F.first("tokens").alias("tokens")), "tokens")
     side = lambda k: whole.select(F.col("key").alias(f"k{k}"), F.col("tokens").alias(f"t{k}"))
     shared = F.size(F.array_intersect("t1", "t2"))
-    return near.join(side(1), "k1").join(side(2), "k2").where(9 * shared >= 4 * (F.col("n1") + F.col("n2"))).select("k1", "k2")
+    out = near.join(side(1), "k1").join(side(2), "k2").where(9 * shared >= 4 * (F.col("n1") + F.col("n2"))).select("k1", "k2")
+    return forget(materialize(out, "similar"), near, whole)
+
+
+def _crowds(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (k1, k2, n1, n2) of sets in different components that pass the bounds of size, position and parity bits, once
+    for each shingle of many holders that they share. Holders meet in blocks; what fails the bounds never leaves a block."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = held.join(sets.select("key", *_BITS), "key").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+
+    def meet(table: pa.Table) -> pa.Table:
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        key, size, pos, c, mine = (table[x].to_numpy().astype(np.int64) for x in ("key", "size", "pos", "c", "mine"))
+        words = np.stack([table[b].to_numpy() for b in _BITS]).view(np.uint64)  # bitwise_count would take off a sign
+        left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
+        out = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(left) if len(np.unique(c)) > 1 else 0, 128):
+            i, j = left[at : at + 128, None], right[None, :]
+            total = size[i] + size[j]
+            ok = (c[i] != c[j]) & (9 * (np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])) >= 4 * total)
+            ok &= (key[i] < key[j]) if low == high else (key[i] != key[j])
+            x, y = np.nonzero(ok)
+            x, y = left[at + x], right[y]
+            apart = np.zeros(len(x), np.int64)
+            for w in words:
+                apart += np.bitwise_count(w[x] ^ w[y])
+            near = 9 * apart <= size[x] + size[y]
+            out.append(np.stack([x[near], y[near]], axis=1))
+        pair = np.concatenate(out)
+        x, y = pair[:, 0], pair[:, 1]
+        swap = key[x] > key[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        return pa.table({"k1": key[x], "k2": key[y], "n1": size[x].astype(np.int32), "n2": size[y].astype(np.int32)})
+
+    return rows.groupBy("token", "low", "high").applyInArrow(meet, "k1 long, k2 long, n1 int, n2 int")
 
 
 def near_copies(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -134,23 +168,36 @@ def near_copies(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFra
     roots = materialize(roots, "roots")
     one = roots.groupBy("key").agg(F.min("root").alias("root"))
     edges = roots.select("key", F.col("root").alias("u")).join(one, "key").select("u", F.col("root").alias("v")).where("u <> v").distinct()
-    sets = rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("size", "first", *_BITS)))
-    sets = materialize(sets.join(one, "key"), "shingles")
-    held = sets.where("size > 0").select("key", "root", "size", F.posexplode("first").alias("pos", "token"))
-
-    # round 1: with the first holder of each shingle
-    head = held.groupBy("token").agg(F.min(F.struct("key", "root", "size")).alias("h"), F.count("*").alias("n")).where("n > 1")
-    star = held.join(head.select("token", "h"), "token").where("key <> h.key AND root <> h.root AND 5 * size >= 4 * h.size AND 5 * h.size >= 4 * size")
-    found = _verified(docs, sets, star.select(F.col("h.key").alias("k1"), F.col("key").alias("k2")), text_col)
+    sets = materialize(rows.where("size > 0").groupBy("key").agg(*(F.first(c).alias(c) for c in ("size", "first", *_BITS))), "shingles")
+    # a shingle that many documents hold stands last in the order, so few of its holders have it among their first
+    held = sets.select("key", F.posexplode("first").alias("pos", "token"))
+    several = held.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").select("token", "key", "pos", "n")
+    alone = materialize(several, "several")
+    several = forget(materialize(alone.join(sets.select("key", "size"), "key").join(one, "key"), "held"), alone)
+    # what the sets may share beside the first shingles that they share: no more than follows the longer first part
+    bound = "9 * (c + (4 * greatest(n1, n2) + 4) div 5 - 1) >= 4 * (n1 + n2)"
+
+    # round 1: each set with the one of the first holders of its shingles that shares most of them, and of the last
+    heads = several.groupBy("token").agg(*(f(F.struct("key", "root", "size")).alias(f"h{k}") for k, f in enumerate((F.min, F.max))))
+    near = several.join(heads, "token")
+    stars = []
+    for k in (0, 1):
+        star = near.withColumn("h", F.col(f"h{k}")).where("key <> h.key AND root <> h.root AND 5 * size >= 4 * h.size AND 5 * h.size >= 4 * size")
+        star = star.groupBy(F.col("h.key").alias("k1"), F.col("key").alias("k2"), F.col("h.size").alias("n1"), F.col("size").alias("n2")).agg(F.count("*").alias("c"))
+        stars.append(star.groupBy("k2").agg(F.max(F.struct("c", "k1", "n1", "n2")).alias("b")).select("k2", "b.*").where(bound).select("k1", "k2", "n1", "n2"))
+    found = _verified(docs, rows, sets, stars[0].union(stars[1]).distinct(), text_col)
     label = lambda k: one.select(F.col("key").alias(f"k{k}"), F.col("root").alias("uv"[k - 1]))
     edges = materialize(edges.unionByName(found.join(label(1), "k1").join(label(2), "k2").select("u", "v")), "edges")
     joined = components(edges).select("node", F.col("root").alias("top"))
 
-    # round 2: all that share a shingle and are in different components
-    now = held.join(joined, F.col("root") == F.col("node"), "left").select("key", "size", "pos", "token", F.coalesce("top", "root").alias("c"))
-    a, b = (now.select("token", *(F.col(x).alias(f"{x}{k}") for x in ("key", "size", "pos", "c"))) for k in (1, 2))
-    met = a.join(b, "token").where("key1 < key2 AND c1 <> c2 AND 5 * size1 >= 4 * size2 AND 5 * size2 >= 4 * size1 AND 9 * least(size1 - pos1, size2 - pos2) >= 4 * (size1 + size2)")
-    found = _verified(docs, sets, met.select(F.col("key1").alias("k1"), F.col("key2").alias("k2")), text_col)
+    # round 2: all that share a shingle and are in different components; shingles of few holders by a join
+    now = several.join(joined, F.col("root") == F.col("node"), "left").select("key", "size", "pos", "token", "n", F.coalesce("top", "root").alias("c"))
+    rare = now.where(F.col("n") <= FEW)
+    a, b = (rare.select("token", F.col("key").alias(f"k{k}"), F.col("size").alias(f"n{k}"), F.col("c").alias(f"c{k}")) for k in (1, 2))
+    met = a.join(b, "token").where("k1 < k2 AND c1 <> c2 AND 5 * n1 >= 4 * n2 AND 5 * n2 >= 4 * n1").groupBy("k1", "k2", "n1", "n2").agg(F.count("*").alias("c"))
+    met = met.unionByName(_crowds(now.where(F.col("n") > FEW), sets).groupBy("k1", "k2", "n1", "n2").agg(F.count("*").alias("c")))
+    met = met.groupBy("k1", "k2", "n1", "n2").agg(F.sum("c").alias("c")).where(bound).select("k1", "k2", "n1", "n2")
+    found = _verified(docs, rows, sets, met, text_col)
     last = components(edges.unionByName(found.join(label(1), "k1").join(label(2), "k2").select("u", "v")))
 
     named = roots.select("fp", "root").distinct().join(last.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("fp", F.coalesce("top", "root").alias("top"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm._common import bounded_texts, bytes_of, slices, tidied
+from cubeloom.llm._common import bounded_texts, bytes_of, slices, small, tidied, trim
 
 ORDERS = (4, 6, 8)
 BITS = 20
@@ -75,9 +75,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _counted(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
-    """Texts that have each feature, by fold and label."""
-    counts = np.zeros((2 * FOLDS, 1 << BITS), dtype=np.int32)
+def _counted(texts: list[bytes], labels: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """Texts that have each feature, by fold and label; added to counts where there are some."""
+    counts = np.zeros((2 * FOLDS, 1 << BITS), dtype=np.int32) if counts is None else counts
     group = np.array([2 * (zlib.crc32(t) % FOLDS) for t in texts], dtype=np.int64) + labels
     for a, b in slices(texts):
         doc, feature = _features(texts[a:b])
@@ -143,8 +143,9 @@ def _solve(start: np.ndarray, column: np.ndarray, ratio: np.ndarray, y: np.ndarr
     return x[:-1], float(x[-1])
 
 
-def _fitted(counts: np.ndarray, totals: np.ndarray, folds: np.ndarray, y: np.ndarray, rows_of, most_features: int) -> LinearModel:
-    """counts: see _counted; totals: their sums. rows_of(used): (start, place in used) of each text's features, in the order of y."""
+def _fitted(names: np.ndarray, counts: np.ndarray, totals: np.ndarray, folds: np.ndarray, y: np.ndarray, rows_of, most_features: int) -> LinearModel:
+    """names: features of two texts or more, in order; counts: see _counted, of these; totals: sums over all features.
+    rows_of(used): (start, place in used) of each text's features, in the order of y."""
     n = np.array([[np.sum((folds == f) & (y == k)) for k in (0, 1)] for f in range(FOLDS)])
     by_label, totals = counts.reshape(FOLDS, 2, -1), totals.reshape(FOLDS, 2)
     rate = (y.sum() + 1) / (len(y) + 2)
@@ -162,7 +163,7 @@ def _fitted(counts: np.ndarray, totals: np.ndarray, folds: np.ndarray, y: np.nda
             for c in choices:
                 tried[f, c] = _choice(whole - by_label[f], total - totals[f], n.sum(axis=0) - n[f], c, most_features)
     union = np.unique(np.concatenate([u for u, _ in [*choices.values(), *tried.values()]]))
-    start, column = rows_of(union)
+    start, column = rows_of(names[union])
     doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(start))
 
     def part(rows, used):
@@ -185,7 +186,7 @@ def _fitted(counts: np.ndarray, totals: np.ndarray, folds: np.ndarray, y: np.nda
     used, ratio = choices[chance]
     w, b = _solve(*part(np.ones(len(y), bool), used), ratio, y, ridge)
     weights = np.zeros(1 << BITS, dtype=np.float32)
-    weights[used] = w * ratio
+    weights[names[used]] = w * ratio
     return LinearModel(weights, b)
 
 
@@ -211,7 +212,8 @@ def train(texts: list[bytes], labels: list[int], most_features: int = 20_000) ->
     y = np.asarray(labels, dtype=np.int64)
     folds = np.array([zlib.crc32(t) % FOLDS for t in texts], dtype=np.int64)
     counts = _counted(texts, y)
-    return _fitted(counts, counts.sum(axis=1), folds, y, lambda union: _joined(_sparse(texts, union)), most_features)
+    names = np.flatnonzero(counts.sum(axis=0) > 1)
+    return _fitted(names, counts[:, names], counts.sum(axis=1), folds, y, lambda union: _joined(_sparse(texts, union)), most_features)
 
 
 def score_texts(model: LinearModel, texts: list[bytes]) -> np.ndarray:
@@ -230,29 +232,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_co
 
     def count(batches):
         total = None
-        for batch in batches:
-            if batch.num_rows:
-                more = _counted(bytes_of(batch.column("_text")), np.array(batch.column("_label").to_pylist(), dtype=np.int64))
-                total = more if total is None else total + more
+        for batch in small(batches):
+            total = _counted(bytes_of(batch.column("_text")), np.array(batch.column("_label").to_pylist(), dtype=np.int64), total)
         if total is not None:  # feature -1: the totals
-            seen = np.flatnonzero(total.any(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, seen), pa.int32()), *(pa.array(np.append(t.sum(dtype=np.int64), t[seen]), pa.int64()) for t in total)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([t.sum(dtype=np.int64)], pa.int32()) for t in total)], names)
+            for at in range(0, 1 << BITS, 1 << 16):
+                part = total[:, at : at + (1 << 16)]
+                seen = np.flatnonzero(part.any(axis=0))
+                yield pa.RecordBatch.from_arrays([pa.array(at + seen, pa.int32()), *(pa.array(t[seen], pa.int32()) for t in part)], names)
 
     names = ["feature", *(f"n{k}" for k in range(2 * FOLDS))]
-    made = sample.mapInArrow(tidied(count), "feature int, " + ", ".join(f"{n} long" for n in names[1:]))
-    summed = made.groupBy("feature").agg(*(F.sum(n).cast("int").alias(n) for n in names[1:])).where(" + ".join(names[1:]) + " > 1").toArrow()
-    counts, totals = np.zeros((2 * FOLDS, 1 << BITS), dtype=np.int32), np.zeros(2 * FOLDS, dtype=np.int64)
+    made = sample.mapInArrow(tidied(count), ", ".join(f"{n} int" for n in names))
+    summed = made.groupBy("feature").agg(*(F.sum(n).cast("int").alias(n) for n in names[1:])).where(" + ".join(names[1:]) + " > 1").toArrow().sort_by("feature")
     feature = summed["feature"].to_numpy()
-    for k in range(2 * FOLDS):
-        column = summed[f"n{k}"].to_numpy()
-        counts[k, feature[feature >= 0]] = column[feature >= 0]
-        totals[k] = column[feature < 0].sum()
+    counts = np.stack([summed[f"n{k}"].to_numpy() for k in range(2 * FOLDS)])
+    totals, counts, feature = counts[:, feature < 0].sum(axis=1, dtype=np.int64), counts[:, feature >= 0], feature[feature >= 0]
+    del summed
     fold = F.crc32("_text") % FOLDS
     head = sample.select("_id", "_label", fold.cast("int").alias("_fold")).toArrow().sort_by("_id")
 
     def rows_of(union: np.ndarray):
         def sparse(batches):
-            for batch in batches:
+            for batch in small(batches):
                 made = _sparse(bytes_of(batch.column("_text")), union)
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([m.tobytes() for m in made], pa.binary())], ["_id", "_at"])
 
@@ -260,7 +261,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_co
         got = sample.mapInArrow(tidied(sparse), f"_id {kind}, _at binary").toArrow().sort_by("_id")
         return _joined([np.frombuffer(x, np.int32) for x in got["_at"].to_pylist()])
 
-    return _fitted(counts, totals, head["_fold"].to_numpy().astype(np.int64), head["_label"].to_numpy().astype(np.int64), rows_of, most_features)
+    model = _fitted(feature, counts, totals, head["_fold"].to_numpy().astype(np.int64), head["_label"].to_numpy().astype(np.int64), rows_of, most_features)
+    trim()
+    return model
 
 def score_toxicity(docs: DataFrame, model: LinearModel, *, text_col="text", score_col="score") -> DataFrame:
     """docs with a column score_col: 0 to 1, higher where toxic is likelier. One pass, no shuffle."""
@@ -269,7 +272,7 @@ def score_toxicity(docs: DataFrame, model: LinearModel, *, text_col="text", scor
     keep = [c for c in docs.columns if c != score_col]
 
     def apply(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = bytes_of(batch.column(batch.schema.get_field_index(text_col)))
             score = pa.array(score_texts(held.value, texts), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), score], [*keep, score_col])

@@ -48,9 +48,25 @@ def made_rows():
     return rows
 
 
-@pytest.mark.parametrize("which", ["table", "made"])
-def test_near_copies_are_complete(spark, sf, which):
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()] if which == "table" else made_rows()
+def crowd_rows():
+    """Copies of one text with so many changes that few are similar, in chains; all share shingles of many holders."""
+    rng = random.Random(4)
+    stem = [f"w{k}" for k in range(60)]
+    rows = [(0, " ".join(stem))]
+    for k in range(1, 150):
+        text = rows[rng.randrange(len(rows))][1].split() if rng.random() < 0.5 else list(stem)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            text[rng.randrange(60)] = f"x{rng.randrange(5)}"
+        rows.append((k, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("which", ["table", "made", "crowd"])
+def test_near_copies_are_complete(spark, sf, which, monkeypatch):
+    if which == "crowd":
+        monkeypatch.setattr(shingle_join, "FEW", 2)
+        monkeypatch.setattr(shingle_join, "BLOCK", 13)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()] if which == "table" else made_rows() if which == "made" else crowd_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute(rows)
     assert {r["doc_id"]: r["component_id"] for r in shingle_join.near_copies(docs).collect()} == want

@@ -80,6 +80,25 @@ def test_packing_odd(spark, tmp_path):
     assert entry.op3_packing(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_encoders_agree_on_the_whole_vocabulary():
+    """Every token as a word of its own, and words that two tokens make: the vocabulary's ranks give the tokenizer's ids."""
+    encoder, tokenizer = packing.Encoder(entry.tokenizer_path(), **entry.tokenizer_ranks()), Tokenizer.from_file(entry.tokenizer_path())
+    tokens = [tokenizer.decode([i], skip_special_tokens=False).strip() for i in range(tokenizer.get_vocab_size())]
+    rng = random.Random(8)
+    words = [" " + w for w in {*tokens, *("".join(rng.sample(tokens, 2)) for _ in range(20_000))} if w and not any(c.isspace() for c in w) and not any(s in w for s in encoder.special)]
+    assert len(words) > 50_000
+    assert [list(encoder.ids(w)) for w in words] == [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def test_grouping_rounds_and_loses_little():
+    rng = np.random.default_rng(0)
+    sizes = np.clip(np.exp(rng.normal(5.5, 0.8, 30_000)).astype(int), 1, 1024)
+    counts = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)), strict=True))
+    used = {g: max(first + z - a for _, a, z, first, _ in packing.plan(counts, 1024, groups=g)) for g in (16, 256)}
+    assert used[16] > used[256]  # fewer sizes, more room lost
+    assert used[256] <= 1.001 * -(-int(sizes.sum()) // 1024)
+
+
 def test_plan_places_everything():
     rng = np.random.default_rng(0)
     for sizes in (rng.integers(1, 101, 3000), rng.integers(45, 60, 500), np.array([100] * 9), np.array([1])):
