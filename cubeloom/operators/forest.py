@@ -103,12 +103,12 @@ def balance_violations(leaves: DataFrame, last: int) -> DataFrame:
     return out
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): least node of each component by label propagation with pointer jumping, until nothing changes."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     labels = both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("m"))
         new = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"))
         hop = new.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
@@ -116,17 +116,18 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         changed = new.join(labels.withColumnRenamed("root", "_old"), "node").where("root <> _old").limit(1).count()
         labels = new
         if not changed:
-            break
-    return labels
+            return labels
 
 
-def hops(edges: DataFrame, start, most: int = 20) -> DataFrame:
-    """(node, hops): breadth-first distances from a node."""
+def hops(edges: DataFrame, start, most: int | None = None) -> DataFrame:
+    """(node, hops): breadth-first distances from a node, to all that it reaches or to `most` hops."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     seen = edges.sparkSession.createDataFrame([(start, 0)], f"node {dict(both.dtypes)['u']}, hops int")
     frontier = seen
-    for k in range(1, most + 1):
+    k = 0
+    while most is None or k < most:
+        k += 1
         step = frontier.join(both, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct()
         frontier = step.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)).checkpoint()
         if frontier.isEmpty():

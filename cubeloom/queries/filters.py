@@ -237,7 +237,21 @@ def _rays(spark):
     return spark.createDataFrame(RAYS, "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double, most double")
 
 
-_BOX_HIT = geom.ray_box(("ox", "oy", "oz"), ("dx", "dy", "dz"), ("min_x", "min_y", "min_z"), ("max_x", "max_y", "max_z"), "most")
+
+
+def _slab_sql(most: str) -> str:
+    """Entry distance of a ray into a box, from the rule: the last of the entries of the three slabs, unless the first of
+    the exits or `most` comes before it; an axis with |d| < 1e-6 only asks whether the origin is between the planes."""
+    enter, leave = [], []
+    for c in "xyz":
+        inside = f"o{c} >= min_{c} AND o{c} <= max_{c}"
+        enter.append(f"CASE WHEN abs(d{c}) < 1e-6 THEN (CASE WHEN {inside} THEN 0.0 ELSE 1e308 END) WHEN d{c} > 0 THEN (min_{c} - o{c}) / d{c} ELSE (max_{c} - o{c}) / d{c} END")
+        leave.append(f"CASE WHEN abs(d{c}) < 1e-6 THEN (CASE WHEN {inside} THEN 1e308 ELSE -1.0 END) WHEN d{c} > 0 THEN (max_{c} - o{c}) / d{c} ELSE (min_{c} - o{c}) / d{c} END")
+    first = f"greatest(0.0, {', '.join(enter)})"
+    return f"CASE WHEN {first} <= least({most}, {', '.join(leave)}) THEN {first} END"
+
+
+_BOX_HIT = _slab_sql("most")
 _HITS = f"WITH {PARTS}, {_RAY_SQL}, h AS (SELECT ray_id, id, {_BOX_HIT} AS t FROM pt, rays) "
 
 
@@ -289,7 +303,7 @@ _PAIR_SQL = (
     "pd AS (SELECT *, sqrt((tx - ox) * (tx - ox) + (ty - oy) * (ty - oy) + (tz - oz) * (tz - oz)) AS dd FROM pairs), pr AS (SELECT *, (tx - ox) / dd AS dx, (ty - oy) / dd AS dy, (tz - oz) / dd AS dz FROM pd)"
 )
 _LOS = (
-    f"WITH {PARTS}, {_PAIR_SQL}, h AS (SELECT pair, id, dd, greatest(max_x - min_x, max_y - min_y, max_z - min_z) AS s, {geom.ray_box(('ox', 'oy', 'oz'), ('dx', 'dy', 'dz'), LOW, HIGH, 'dd')} AS t FROM pt, pr), "
+    f"WITH {PARTS}, {_PAIR_SQL}, h AS (SELECT pair, id, dd, greatest(max_x - min_x, max_y - min_y, max_z - min_z) AS s, {_slab_sql('dd')} AS t FROM pt, pr), "
     "o AS (SELECT pair, id, t, least(1.0, 0.5 * (s / greatest(t, 1)) * (s / greatest(t, 1))) * CASE WHEN t / dd < 0.1 OR t / dd > 0.9 THEN 0.5 ELSE 1 END AS ratio, CASE WHEN t > dd THEN 'behind' WHEN t < 0.05 * dd THEN 'before_observer' WHEN s / greatest(t, 1e-9) > 0.5 THEN 'full' ELSE 'partial' END AS occlusion FROM h WHERE t IS NOT NULL) "
 )
 

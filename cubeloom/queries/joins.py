@@ -82,12 +82,6 @@ def collide_spheres(spark, sf):
     return pairs.join(a, "id1").join(b, "id2").where(d <= r).select("id1", "id2", F.round(r - d, 6).alias("depth"))
 
 
-@add(f"WITH {PARTS}, {EVENTS}, s AS (SELECT id, x AS sx, y * 5 AS sy, z AS sz FROM ev WHERE id % 5 = 0), c AS (SELECT s.id AS sphere_id, p.id AS box_id, " + " + ".join(f"greatest(min_{c} - s{c}, s{c} - max_{c}, 0) * greatest(min_{c} - s{c}, s{c} - max_{c}, 0)" for c in "xyz") + " AS d2 FROM s, pt p) SELECT sphere_id, box_id, round(12 - sqrt(d2), 6) AS depth FROM c WHERE d2 <= 144")
-def collide_spheres_with_boxes(spark, sf):
-    """A fifth of the events, as in its SQL; collide_spheres_with_boxes_whole has all."""
-    return _spheres_with_boxes(views.events(spark, sf).where("id % 5 = 0"), views.parts(spark, sf))
-
-
 def _spheres_with_boxes(events, boxes):
     s = events.select("id", "x", (F.col("y") * 5).alias("y"), "z")
     near = collide.point_box_pairs(s, boxes, reach=12.0).select("point_id", "box_id")
@@ -235,12 +229,6 @@ def balance_violations(spark, sf):
 _GRAPH = "e AS (SELECT DISTINCT o_custkey AS a, o_custkey * 7 % 1500 AS b FROM orders WHERE o_custkey % 3 = 0)"
 
 
-@add(f"WITH RECURSIVE {_GRAPH}, u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT x, x FROM u UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node) SELECT node, MIN(root) AS root FROM r GROUP BY node")
-def graph_components(spark, sf):
-    """The customers divisible by 3, as in its SQL; graph_components_whole has all."""
-    return _order_components(spark, views.table(spark, sf, "orders").where("o_custkey % 3 = 0"))
-
-
 def _order_components(spark, o):
     _checkpoints(spark)
     return forest.components(o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1500).alias("b")).distinct())

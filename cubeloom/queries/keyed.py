@@ -97,7 +97,7 @@ BOX = (500.0, 300.0, 100.0, 1200.0, 1500.0, 900.0)
 
 @add(f"WITH {ORDERS} SELECT id, x, y, z FROM od WHERE x BETWEEN {BOX[0]} AND {BOX[3]} AND y BETWEEN {BOX[1]} AND {BOX[4]} AND z BETWEEN {BOX[2]} AND {BOX[5]}")
 def range_by_code_intervals(spark, sf):
-    return index.in_box(index.with_cell(views.orders(spark, sf), LEVEL), BOX, cell="cell", level=LEVEL).select("id", "x", "y", "z")
+    return index.in_box(views.orders(spark, sf), BOX).select("id", "x", "y", "z")
 
 
 _IX = [range(int(BOX[k] // 128), int(BOX[k + 3] // 128) + 1) for k in range(3)]
@@ -134,9 +134,11 @@ def level_of_code(spark, sf):
 def _type_sql(level: int) -> str:
     size = 1 << (21 - level)
     u, v, w = (f"({c} - floor({c} / {size}) * {size})" for c in "xyz")
-    at = {"u": u, "v": v, "w": w}
-    whens = " ".join(f"WHEN {at[o[0]]} >= {at[o[1]]} AND {at[o[1]]} >= {at[o[2]]} THEN {k}" for k, o in enumerate(keys.TYPE_ORDER))
-    return f"CASE {whens} END"
+    # by the greatest offset in the cell, then the middle one; shared faces go to the lowest type
+    return (
+        f"CASE WHEN {u} >= {v} AND {v} >= {w} THEN 0 WHEN {v} >= {u} AND {u} >= {w} THEN 1 WHEN {w} >= {u} AND {u} >= {v} THEN 2 "
+        f"WHEN {w} >= {v} AND {v} >= {u} THEN 3 WHEN {u} >= {w} AND {w} >= {v} THEN 4 WHEN {v} >= {w} AND {w} >= {u} THEN 5 END"
+    )
 
 
 @add(f"WITH {ORDERS} SELECT id, {sql_cell('x', 'y', 'z', 14)} AS cell, {_type_sql(14)} AS type FROM od")
@@ -188,7 +190,11 @@ def tet_parent(spark, sf):
     return p.select("x", "y", "z", *(F.col(f"p.{c}").alias(f"p{c}") for c in "xyz"), F.col("p.type").alias("ptype"))
 
 
-_CORNERS = " UNION ALL ".join(f"SELECT {t} AS t, {k} AS vertex, {c & 1} AS a, {c >> 1 & 1} AS b, {c >> 2} AS c" for t, corners in enumerate(keys.TYPE_CORNERS) for k, c in enumerate(corners))
+#: From a cube's low corner to its high one, an edge at a time: by type, at which vertex x, y and z have grown.
+_CORNERS = (
+    "SELECT t, vertex, CAST(vertex >= gx AS INTEGER) AS a, CAST(vertex >= gy AS INTEGER) AS b, CAST(vertex >= gz AS INTEGER) AS c "
+    "FROM (VALUES (0, 1, 2, 3), (1, 2, 1, 3), (2, 2, 3, 1), (3, 3, 2, 1), (4, 1, 3, 2), (5, 3, 1, 2)) g(t, gx, gy, gz), (VALUES (0), (1), (2), (3)) v(vertex)"
+)
 
 
 @add(f"WITH {ORDERS}, t AS (SELECT DISTINCT {', '.join(f'{sql_index(a, 12)} * 512 AS {a}' for a in 'xyz')}, {_type_sql(12)} AS type FROM od), k AS ({_CORNERS}) SELECT t.x, t.y, t.z, type, vertex, t.x + 512 * a AS vx, t.y + 512 * b AS vy, t.z + 512 * c AS vz FROM t JOIN k ON k.t = type")
@@ -278,4 +284,4 @@ def curve_ordered_scan(spark, sf):
 @add(f"WITH {ORDERS} SELECT {sql_cell('x', 'y', 'z', 14)} AS cell, COUNT(*) AS n FROM od WHERE x BETWEEN {BOX[0]} AND {BOX[3]} AND y BETWEEN {BOX[1]} AND {BOX[4]} AND z BETWEEN {BOX[2]} AND {BOX[5]} GROUP BY 1 ORDER BY n DESC, cell LIMIT 100")
 def densest_cells_in_box(spark, sf):
     """Orders per cell inside a box, the densest hundred."""
-    return index.in_box(index.with_cell(views.orders(spark, sf), LEVEL), BOX, cell="cell", level=LEVEL).groupBy("cell").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cell").limit(100)
+    return index.with_cell(index.in_box(views.orders(spark, sf), BOX), LEVEL).groupBy("cell").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cell").limit(100)

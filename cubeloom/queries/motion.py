@@ -62,12 +62,6 @@ def exactly_once_tokens(spark, sf):
     return batch.once(events(spark, sf), ["source", "user_id"], ["id"]).select("id", "source", "user_id")
 
 
-@add(f"WITH {_EV} SELECT user_id AS id, max(ts_ms) AS ts_ms, arg_max(source, id) AS source FROM e WHERE id % 3 = 0 GROUP BY user_id")
-def migration_log_latest(spark, sf):
-    """A third of the events, as in its SQL; migration_log_latest_whole has all."""
-    return _log_latest(events(spark, sf).where("id % 3 = 0"))
-
-
 def _log_latest(e):
     e = batch.once(e, ["id"], ["ts_ms"])
     return e.groupBy(F.col("user_id").alias("id")).agg(F.max("ts_ms").alias("ts_ms"), F.max_by("source", "id").alias("source"))
@@ -96,13 +90,6 @@ def ghost_cap(spark, sf):
     return batch.newest_ghosts(e).select("id", "source")
 
 
-@add(f"WITH {_EV}, m AS (SELECT max(ts_ms) AS now FROM e), s AS (SELECT user_id AS id, COUNT(*) AS updates, any_value(now) - max(ts_ms) AS age FROM e, m WHERE user_id % 3 = 0 OR id % 50 = 0 GROUP BY user_id) SELECT id, updates, CASE WHEN age > {50 * HOUR} THEN 'expired' WHEN age > {25 * HOUR} THEN 'stale' WHEN updates > 1 THEN 'active' ELSE 'created' END AS state FROM s")
-def ghost_lifecycle(spark, sf):
-    """A part of the events, as in its SQL; ghost_lifecycle_whole has all."""
-    e = events(spark, sf)
-    return _lifecycle(e, e.where("user_id % 3 = 0 OR id % 50 = 0"))
-
-
 def _lifecycle(e, updates):
     now = e.agg(F.max("ts_ms")).first()[0]
     return batch.ghost_states(updates.select(F.col("user_id").alias("id"), "ts_ms"), now, 25 * HOUR, 25 * HOUR)
@@ -207,12 +194,6 @@ def split_by_plane(spark, sf):
     return events(spark, sf).groupBy("source", side.alias("side")).agg(F.count("*").alias("n"))
 
 
-@add(f"WITH {_EV} SELECT user_id // 10 AS region, COUNT(DISTINCT user_id) FILTER (id % 2 = 0) AS known, COUNT(DISTINCT user_id) AS expected, round(least(1, COUNT(DISTINCT user_id) FILTER (id % 2 = 0) / COUNT(DISTINCT user_id)), 6) AS consistency FROM e WHERE id < 2000 GROUP BY 1")
-def neighbour_consistency(spark, sf):
-    """The first 2,000 events only, as in its SQL; neighbour_consistency_whole has all."""
-    return _consistency(events(spark, sf).where("id < 2000"))
-
-
 def _consistency(e):
     known, expected = F.count_distinct(F.when(F.col("id") % 2 == 0, F.col("user_id"))), F.count_distinct("user_id")
     got = e.groupBy(F.floor(F.col("user_id") / 10).alias("region")).agg(known.alias("known"), expected.alias("expected"))

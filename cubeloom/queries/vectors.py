@@ -53,12 +53,6 @@ def nd_discretise(spark, sf):
     return c.groupBy(*(F.col("c")[k].alias(f"c{k + 1}") for k in range(3))).agg(F.count("*").alias("n"))
 
 
-@add(f"WITH {VECTORS}, c AS (SELECT id, {_CELL} FROM ve) SELECT a.id AS id1, b.id AS id2 FROM c a JOIN c b ON a.id < b.id AND abs(a.c1 - b.c1) <= 1 AND abs(a.c2 - b.c2) <= 1 AND abs(a.c3 - b.c3) <= 1 WHERE a.id < 100 AND b.id < 100")
-def nd_candidates(spark, sf):
-    """Pairs in the same or a neighbouring cell, among the first hundred vectors, as in its SQL; nd_candidates_whole has all."""
-    return _candidates(views.vectors(spark, sf).where("id < 100"))
-
-
 def _candidates(v):
     c = v.select("id", nd.cell(nd.project("v", [0, 1, 2]), [-4.0] * 3, [4.0] * 3, 3).alias("c")).select("id", *(F.col("c")[k].alias(f"c{k}") for k in range(3)))
     near = c

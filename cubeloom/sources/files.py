@@ -33,7 +33,7 @@ def obj_faces(spark: SparkSession, path: str) -> DataFrame:
     w = Window.partitionBy("file").orderBy("n")
     rows = rows.withColumn("_seen", F.count_if(F.col("line").rlike(r"^\s*v\s")).over(w)).where(F.col("line").rlike(r"^\s*f\s"))
     number = lambda e: F.split(e, "/")[0].cast("int")
-    at = F.transform(F.slice(F.split(F.trim("line"), r"\s+"), 2, 1000), lambda e: F.when(number(e) < 0, F.col("_seen").cast("int") + number(e) + 1).otherwise(number(e)))
+    at = F.transform(F.slice(F.split(F.trim("line"), r"\s+"), F.lit(2), F.size(F.split(F.trim("line"), r"\s+")) - 1), lambda e: F.when(number(e) < 0, F.col("_seen").cast("int") + number(e) + 1).otherwise(number(e)))
     fan = rows.withColumn("_v", at).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_v") - 2)))
     return fan.select("file", F.row_number().over(Window.partitionBy("file").orderBy("n", "_k")).alias("face"), F.col("_v")[0].alias("a"), F.get("_v", F.col("_k")).alias("b"), F.get("_v", F.col("_k") + 1).alias("c"))
 

@@ -1,5 +1,6 @@
 """Hand-placed entities: nearest, rays, contacts, intervals, tetrahedra, updates."""
 
+import math
 import random
 
 import pytest
@@ -180,3 +181,26 @@ def test_reconcile_and_subtrees(spark):
 def test_capsule_distance(spark):
     e = geom.segments_distance2(("0D", "0D", "0D"), ("0D", "0D", "10D"), ("3D", "-5D", "5D"), ("3D", "5D", "5D"))
     assert spark.range(1).select(F.expr(e)).first()[0] == 9.0
+
+
+def test_nearest_join_by_tiles(spark, monkeypatch):
+    """Ties to the smaller id, nulls and far points left out, more wanted than there are; no probes, no points."""
+    monkeypatch.setattr(search, "TILE", 12)
+    rows = [(k, float(k % 7), float(k % 5), float(k % 3)) for k in range(60)] + [(60, None, 1.0, 1.0), (None, 0.0, 0.0, 0.0), (61, float("nan"), 0.0, 0.0), (3, 100.0, 100.0, 100.0)]
+    probes = [("a", 0.0, 0.0, 0.0), ("b", 3.2, 2.1, 1.0), ("c", None, 1.0, 1.0), ("d", 1000.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double").repartition(3)
+    p = spark.createDataFrame(probes, "q_id string, x double, y double, z double")
+
+    def brute(k, most):
+        out = []
+        for q, *at in probes:
+            if None in at:
+                continue
+            far = [(math.sqrt(sum((a - b) ** 2 for a, b in zip(at, r[1:], strict=True))), r[0]) for r in rows if r[0] is not None and None not in r and not any(math.isnan(v) for v in r[1:])]
+            out += [(q, i, d, n + 1) for n, (d, i) in enumerate(sorted(x for x in far if most is None or x[0] <= most)[:k])]
+        return sorted((q, n, i, round(d, 9)) for q, i, d, n in out)
+
+    for k, most in ((1, None), (5, None), (5, 2.0), (100, None)):
+        got = search.nearest_join(df, p, k, most).collect()
+        assert sorted((r["q_id"], r["rank"], r["id"], round(r["distance"], 9)) for r in got) == brute(k, most)
+    assert search.nearest_join(df.limit(0), p, 2).count() == search.nearest_join(df, p.limit(0), 2).count() == search.nearest_join(df, p, 0).count() == 0
