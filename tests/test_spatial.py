@@ -196,7 +196,8 @@ def test_nearest_join_by_tiles(spark, monkeypatch):
         for q, *at in probes:
             if None in at:
                 continue
-            far = [(math.sqrt(sum((a - b) ** 2 for a, b in zip(at, r[1:], strict=True))), r[0]) for r in rows if r[0] is not None and None not in r and not any(math.isnan(v) for v in r[1:])]
+            dx, dy, dz = at  # in this order of sums, which decides near ties
+            far = [(math.sqrt((r[1] - dx) * (r[1] - dx) + (r[2] - dy) * (r[2] - dy) + (r[3] - dz) * (r[3] - dz)), r[0]) for r in rows if r[0] is not None and None not in r and not any(math.isnan(v) for v in r[1:])]
             out += [(q, i, d, n + 1) for n, (d, i) in enumerate(sorted(x for x in far if most is None or x[0] <= most)[:k])]
         return sorted((q, n, i, round(d, 9)) for q, i, d, n in out)
 
