@@ -219,10 +219,7 @@ def knn_join(spark, sf):
 @add(f"WITH {ORDERS}, {CUSTOMERS}, {_KNN}")
 def knn_join_by_cells(spark, sf):
     """The same by the plan for many probes: rings of cells, widened for the probes that need it."""
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    views.checkpoints(spark)
     return search.nearest_join(views.orders(spark, sf), _probes(spark, sf), 5, level=13).select("q_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 

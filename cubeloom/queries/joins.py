@@ -230,7 +230,7 @@ _GRAPH = "e AS (SELECT DISTINCT o_custkey AS a, o_custkey * 7 % 1500 AS b FROM o
 
 
 def _order_components(spark, o):
-    _checkpoints(spark)
+    views.checkpoints(spark)
     return forest.components(o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1500).alias("b")).distinct())
 
 
@@ -241,17 +241,10 @@ def graph_components_whole(spark, sf):
 
 @add(f"WITH RECURSIVE {_TREES}, {_TOUCH}, u AS (SELECT a AS x, b AS y FROM s WHERE flat = 1 UNION SELECT b, a FROM s WHERE flat = 1), r(node, hops) AS (SELECT 0::BIGINT, 0 UNION SELECT u.y, r.hops + 1 FROM r JOIN u ON u.x = r.node WHERE r.hops < 7) SELECT node, MIN(hops) AS hops FROM r GROUP BY node")
 def graph_hops(spark, sf):
-    _checkpoints(spark)
+    views.checkpoints(spark)
     return forest.hops(forest.connections(trees(spark)).where("kind = 'FACE'").select("a", "b"), 0)
 
 
-def _checkpoints(spark):
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-
-
 # --- regions --------------------------------------------------------------------------------------------------------
 
 

@@ -15,6 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Sets the checkpoint folder where none is set: spark.checkpoint.dir, or a folder of this machine on a local master."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not found:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        found = tempfile.mkdtemp()
+    spark.sparkContext.setCheckpointDir(found)
+
+
 def micros(column: str):
     return F.unix_micros(F.col(column).cast("timestamp"))
 
