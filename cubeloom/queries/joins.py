@@ -16,10 +16,14 @@ P, LOW, HIGH = index.P, index.LOW, index.HIGH
 _PD = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 
 
+def _rounded(*columns: str) -> list:
+    return [F.expr(geom.rounded(c)).alias(c) for c in columns]
+
+
 @add(f"WITH {EVENTS} SELECT a.id AS id1, b.id AS id2, round({_PD}, 6) AS distance, round(CASE WHEN {_PD} = 0 THEN 0 ELSE 2 - {_PD} END, 6) AS depth, round((a.x + b.x) / 2, 6) AS contact_x FROM ev a JOIN ev b ON a.id < b.id AND a.y BETWEEN b.y - 2 AND b.y + 2 AND {_PD} <= 2")
 def collide_points(spark, sf):
     got = collide.point_pairs(views.events(spark, sf), reach=2.0)
-    return got.select("id1", "id2", F.round("distance", 6).alias("distance"), F.round("depth", 6).alias("depth"), F.round("contact_x", 6).alias("contact_x"))
+    return got.select("id1", "id2", *_rounded("distance", "depth", "contact_x"))
 
 
 _SIDE = [tuple(f"{s}.{c}" for c in part) for s in "ab" for part in (LOW, HIGH)]
@@ -31,9 +35,12 @@ _BOXES = (
 _BOX_COLS = "id1, id2, round(cx, 6) AS contact_x, round(cy, 6) AS contact_y, round(cz, 6) AS contact_z, round(depth, 6) AS depth, CASE depth WHEN px THEN '+X' WHEN nx THEN '-X' WHEN py THEN '+Y' WHEN ny THEN '-Y' WHEN pz THEN '+Z' ELSE '-Z' END AS normal"
 
 
+def _box_contacts(pairs):
+    return pairs.select("id1", "id2", *_rounded("contact_x", "contact_y", "contact_z", "depth"), "normal")
+
+
 def _box_pairs(df):
-    got = collide.box_pairs(df)
-    return got.select("id1", "id2", *(F.round(c, 6).alias(c) for c in ("contact_x", "contact_y", "contact_z", "depth")), "normal")
+    return _box_contacts(collide.box_pairs(df))
 
 
 @add(_BOXES + f"SELECT {_BOX_COLS} FROM d ORDER BY depth DESC, id1, id2")
@@ -43,7 +50,7 @@ def collide_boxes(spark, sf):
 
 @add(_BOXES + f"SELECT {_BOX_COLS} FROM d WHERE 12 IN (id1, id2) OR 77 IN (id1, id2)")
 def collisions_of_entity(spark, sf):
-    return _box_pairs(views.parts(spark, sf)).where(F.col("id1").isin(12, 77) | F.col("id2").isin(12, 77))
+    return _box_contacts(collide.box_pairs_of(views.parts(spark, sf), [12, 77]))
 
 
 @add(_BOXES.replace("FROM pt a JOIN pt b ON", "FROM (SELECT * FROM pt WHERE min_x <= 600 AND max_x >= 200 AND min_y <= 700 AND max_y >= 100) a JOIN (SELECT * FROM pt WHERE min_x <= 600 AND max_x >= 200 AND min_y <= 700 AND max_y >= 100) b ON") + f"SELECT {_BOX_COLS} FROM d")
@@ -74,12 +81,10 @@ _SPHERES = f"WITH {PARTS}, d AS (SELECT a.id AS id1, b.id AS id2, {_PD} AS d, a.
 @add(_SPHERES + "SELECT id1, id2, round(r - d, 6) AS depth FROM d")
 def collide_spheres(spark, sf):
     """Spheres of radius half, by the box join and the sphere rule."""
-    s = views.parts(spark, sf)
-    pairs = collide.box_pairs(s).select("id1", "id2")
-    a, b = s.select(F.col("id").alias("id1"), *(F.col(c).alias(f"a_{c}") for c in (*P, "half"))), s.select(F.col("id").alias("id2"), *(F.col(c).alias(f"b_{c}") for c in (*P, "half")))
-    d = F.expr(geom.dist(tuple(f"a_{c}" for c in P), tuple(f"b_{c}" for c in P)))
-    r = F.col("a_half") + F.col("b_half")
-    return pairs.join(a, "id1").join(b, "id2").where(d <= r).select("id1", "id2", F.round(r - d, 6).alias("depth"))
+    pairs = collide.meeting(views.parts(spark, sf), [*P, "half"])
+    d = geom.dist(tuple(f"a_{c}" for c in P), tuple(f"b_{c}" for c in P))
+    near = pairs.where(F.expr(f"{d} <= a_half + b_half"))
+    return near.select(F.col("a_id").alias("id1"), F.col("b_id").alias("id2"), F.expr(geom.rounded(f"(a_half + b_half - {d})")).alias("depth"))
 
 
 def _spheres_with_boxes(events, boxes):
@@ -98,13 +103,11 @@ def collide_spheres_with_boxes_whole(spark, sf):
 @add()
 def collide_capsules(spark, sf):
     """Upright capsules: segments of length half about the centre, radius half / 2."""
-    s = views.parts(spark, sf)
-    pairs = collide.box_pairs(s).select("id1", "id2")
-    a, b = s.select(F.col("id").alias("id1"), *(F.col(c).alias(f"a_{c}") for c in (*P, "half"))), s.select(F.col("id").alias("id2"), *(F.col(c).alias(f"b_{c}") for c in (*P, "half")))
-    ends = [(f"{s}_x", f"{s}_y", f"({s}_z {g} {s}_half / 2)") for s in "ab" for g in "-+"]
-    d2 = F.expr(geom.segments_distance2(*ends))
-    r = (F.col("a_half") + F.col("b_half")) / 2
-    return pairs.join(a, "id1").join(b, "id2").where(d2 <= r * r).select("id1", "id2", F.round(r - F.sqrt(d2), 6).alias("depth"))
+    pairs = collide.meeting(views.parts(spark, sf), [*P, "half"])
+    d2 = geom.upright_distance2(tuple(f"a_{c}" for c in P), tuple(f"b_{c}" for c in P), "a_half / 2", "b_half / 2")
+    r = "((a_half + b_half) / 2)"
+    near = pairs.where(F.expr(f"{d2} <= {r} * {r}"))
+    return near.select(F.col("a_id").alias("id1"), F.col("b_id").alias("id2"), F.expr(geom.rounded(f"({r} - sqrt({d2}))")).alias("depth"))
 
 
 _VEL = ("(id % 7 - 3) * 4.0", "(id % 5 - 2) * 4.0", "(id % 3 - 1) * 4.0")
@@ -114,7 +117,7 @@ _IMPACT = geom.impact_time(tuple(f"(b.{c} - a.{c})" for c in "xyz"), tuple(f"(b.
 @add(f"WITH {PARTS}, m AS (SELECT *, " + ", ".join(f"CAST({v} AS DOUBLE) AS v{c}" for v, c in zip(_VEL, "xyz", strict=True)) + f" FROM pt), h AS (SELECT a.id AS id1, b.id AS id2, {_IMPACT} AS t FROM m a JOIN m b ON a.id < b.id AND abs(a.x - b.x) <= 60) SELECT id1, id2, round(t, 6) AS t FROM h WHERE t IS NOT NULL")
 def continuous_collision(spark, sf):
     m = views.parts(spark, sf).select("id", *P, F.col("half").alias("radius"), *(F.expr(f"CAST({v} AS DOUBLE)").alias(f"v{c}") for v, c in zip(_VEL, "xyz", strict=True)))
-    return collide.swept_sphere_hits(m).select("id1", "id2", F.round("t", 6).alias("t"))
+    return collide.swept_sphere_hits(m).select("id1", "id2", *_rounded("t"))
 
 
 @add(
@@ -123,11 +126,10 @@ def continuous_collision(spark, sf):
 )
 def collision_impulses(spark, sf):
     """Impulses along x (from the first to the second centre) of colliding boxes moving along x."""
-    s = views.parts(spark, sf).select("id", "x")
-    p = collide.box_pairs(views.parts(spark, sf)).select("id1", "id2", "depth").join(s.select(F.col("id").alias("id1"), F.col("x").alias("ax")), "id1").join(s.select(F.col("id").alias("id2"), F.col("x").alias("bx")), "id2")
+    p = collide.box_pairs(views.parts(spark, sf), carry=("x",)).select("id1", "id2", "depth", F.col("a_x").alias("ax"), F.col("b_x").alias("bx"))
     zero = F.lit(0.0)
     p = p.withColumns({"nx": F.when(F.col("bx") >= F.col("ax"), 1.0).otherwise(-1.0), "ny": zero, "nz": zero, "v1x": (F.col("id1") % 7).cast("double"), "v2x": (F.col("id2") % 7).cast("double"), "v1y": zero, "v2y": zero, "v1z": zero, "v2z": zero, "m1": (1 + F.col("id1") % 4).cast("double"), "m2": (1 + F.col("id2") % 4).cast("double")})
-    return collide.responses(p).select("id1", "id2", F.round("j", 6).alias("j"))
+    return collide.responses(p).select("id1", "id2", *_rounded("j"))
 
 
 # --- forests --------------------------------------------------------------------------------------------------------
@@ -294,8 +296,5 @@ def migration_direction(spark, sf):
 @add(f"WITH {EVENTS}, b AS (SELECT id, x, y, z FROM ev), s AS (SELECT a.id, COUNT(*) AS neighbours, AVG(b.x) AS cx, AVG(b.y) AS cy FROM b a JOIN b ON a.id <> b.id AND abs(a.x - b.x) <= 3 AND {_PD} <= 3 GROUP BY a.id) SELECT id, neighbours, round(cx, 6) AS cohesion_x, round(cy, 6) AS cohesion_y FROM s")
 def flock_neighbours(spark, sf):
     """What flocking needs: the neighbours in the area of interest and their centre."""
-    e = views.events(spark, sf).select("id", *P)
-    pairs = collide.point_pairs(e, reach=3.0).select("id1", "id2")
-    both = pairs.select(F.col("id1").alias("id"), F.col("id2").alias("other")).unionByName(pairs.select(F.col("id2").alias("id"), F.col("id1").alias("other")))
-    near = both.join(e.select(F.col("id").alias("other"), "x", "y"), "other")
-    return near.groupBy("id").agg(F.count("*").alias("neighbours"), F.round(F.avg("x"), 6).alias("cohesion_x"), F.round(F.avg("y"), 6).alias("cohesion_y"))
+    near = collide.neighbourhoods(views.events(spark, sf).select("id", *P), 3.0)
+    return near.select("id", "neighbours", F.round("x", 6).alias("cohesion_x"), F.round("y", 6).alias("cohesion_y"))
