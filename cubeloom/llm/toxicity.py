@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ FOLDS = 4
 CHANCE, RIDGE = (12.0, 40.0), (1e-4, 1e-3, 1e-2)  # tried in cross-validation: least chi square, penalty
 PAD = b"\x00" * (max(ORDERS) - 1)
 PIECE = 1 << 20  # bytes of a long text at a time
+RANGE = 1 << 16  # features whose counts travel together
 
 
 @dataclass(frozen=True)
@@ -79,10 +81,10 @@ def _counted(texts: list[bytes], labels: np.ndarray, counts: np.ndarray | None =
     """Texts that have each feature, by fold and label; added to counts where there are some."""
     counts = np.zeros((2 * FOLDS, 1 << BITS), dtype=np.int32) if counts is None else counts
     group = np.array([2 * (zlib.crc32(t) % FOLDS) for t in texts], dtype=np.int64) + labels
-    for a, b in slices(texts):
+    for a, b in slices(texts, 1 << 17):
         doc, feature = _features(texts[a:b])
-        for k in np.unique(group[a:b]):
-            counts[k] += np.bincount(feature[group[a:b][doc] == k], minlength=1 << BITS).astype(np.int32)
+        at, n = np.unique((group[a:b][doc] << BITS) | feature, return_counts=True)
+        counts.reshape(-1)[at] += n.astype(np.int32)
     return counts
 
 
@@ -234,16 +236,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_co
         total = None
         for batch in small(batches):
             total = _counted(bytes_of(batch.column("_text")), np.array(batch.column("_label").to_pylist(), dtype=np.int64), total)
-        if total is not None:  # feature -1: the totals
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([t.sum(dtype=np.int64)], pa.int32()) for t in total)], names)
-            for at in range(0, 1 << BITS, 1 << 16):
-                part = total[:, at : at + (1 << 16)]
-                seen = np.flatnonzero(part.any(axis=0))
-                yield pa.RecordBatch.from_arrays([pa.array(at + seen, pa.int32()), *(pa.array(t[seen], pa.int32()) for t in part)], names)
+        if total is not None:
+            for at in range(0, 1 << BITS, RANGE):
+                blob = zstandard.ZstdCompressor(level=1).compress(total[:, at : at + RANGE].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([blob], pa.binary())], ["at", "counts"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in small(batches, 1):
+            at, blob = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+            part = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32).reshape(2 * FOLDS, -1)
+            total[at] = total[at] + part if at in total else part
+        for at, part in total.items():  # feature -1: the totals
+            seen = np.flatnonzero(part.sum(axis=0) > 1)
+            columns = (np.append(t.sum(dtype=np.int64), t[seen]).astype(np.int32) for t in part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at + seen), pa.int32()), *map(pa.array, columns)], names)
 
     names = ["feature", *(f"n{k}" for k in range(2 * FOLDS))]
-    made = sample.mapInArrow(tidied(count), ", ".join(f"{n} int" for n in names))
-    summed = made.groupBy("feature").agg(*(F.sum(n).cast("int").alias(n) for n in names[1:])).where(" + ".join(names[1:]) + " > 1").toArrow().sort_by("feature")
+    # ranges of counts travel as one value each: an aggregation by feature would hold all of them again, in every task
+    made = sample.mapInArrow(tidied(count), "at int, counts binary").repartition((1 << BITS) // RANGE, "at")
+    summed = made.mapInArrow(tidied(add), ", ".join(f"{n} int" for n in names)).toArrow().sort_by("feature")
     feature = summed["feature"].to_numpy()
     counts = np.stack([summed[f"n{k}"].to_numpy() for k in range(2 * FOLDS)])
     totals, counts, feature = counts[:, feature < 0].sum(axis=1, dtype=np.int64), counts[:, feature >= 0], feature[feature >= 0]
