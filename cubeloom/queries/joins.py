@@ -35,12 +35,16 @@ _BOXES = (
 _BOX_COLS = "id1, id2, round(cx, 6) AS contact_x, round(cy, 6) AS contact_y, round(cz, 6) AS contact_z, round(depth, 6) AS depth, CASE depth WHEN px THEN '+X' WHEN nx THEN '-X' WHEN py THEN '+Y' WHEN ny THEN '-Y' WHEN pz THEN '+Z' ELSE '-Z' END AS normal"
 
 
+def _contact() -> list:
+    return [*_rounded("contact_x", "contact_y", "contact_z", "depth"), F.col("normal")]
+
+
 def _box_contacts(pairs):
-    return pairs.select("id1", "id2", *_rounded("contact_x", "contact_y", "contact_z", "depth"), "normal")
+    return pairs.select("id1", "id2", *_contact())
 
 
 def _box_pairs(df):
-    return _box_contacts(collide.box_pairs(df))
+    return collide.box_pairs(df, columns=_contact())
 
 
 @add(_BOXES + f"SELECT {_BOX_COLS} FROM d ORDER BY depth DESC, id1, id2")
@@ -78,13 +82,17 @@ def collide_points_with_boxes(spark, sf):
 _SPHERES = f"WITH {PARTS}, d AS (SELECT a.id AS id1, b.id AS id2, {_PD} AS d, a.half + b.half AS r FROM pt a JOIN pt b ON a.id < b.id AND abs(a.x - b.x) <= 20 AND {_PD} <= a.half + b.half) "
 
 
+def _round_pairs(df, touch: str, depth: str):
+    """Pairs by the box join that touch, and how deep."""
+    got = collide.meeting(df, [*P, "half"], each=lambda pairs: pairs.where(F.expr(touch)).select("a_ids", "b_ids", F.expr(geom.rounded(depth)).alias("depth")))
+    return got.select(F.col("a_id").alias("id1"), F.col("b_id").alias("id2"), "depth")
+
+
 @add(_SPHERES + "SELECT id1, id2, round(r - d, 6) AS depth FROM d")
 def collide_spheres(spark, sf):
     """Spheres of radius half, by the box join and the sphere rule."""
-    pairs = collide.meeting(views.parts(spark, sf), [*P, "half"])
     d = geom.dist(tuple(f"a_{c}" for c in P), tuple(f"b_{c}" for c in P))
-    near = pairs.where(F.expr(f"{d} <= a_half + b_half"))
-    return near.select(F.col("a_id").alias("id1"), F.col("b_id").alias("id2"), F.expr(geom.rounded(f"(a_half + b_half - {d})")).alias("depth"))
+    return _round_pairs(views.parts(spark, sf), f"{d} <= a_half + b_half", f"(a_half + b_half - {d})")
 
 
 def _spheres_with_boxes(events, boxes):
@@ -103,11 +111,9 @@ def collide_spheres_with_boxes_whole(spark, sf):
 @add()
 def collide_capsules(spark, sf):
     """Upright capsules: segments of length half about the centre, radius half / 2."""
-    pairs = collide.meeting(views.parts(spark, sf), [*P, "half"])
     d2 = geom.upright_distance2(tuple(f"a_{c}" for c in P), tuple(f"b_{c}" for c in P), "a_half / 2", "b_half / 2")
     r = "((a_half + b_half) / 2)"
-    near = pairs.where(F.expr(f"{d2} <= {r} * {r}"))
-    return near.select(F.col("a_id").alias("id1"), F.col("b_id").alias("id2"), F.expr(geom.rounded(f"({r} - sqrt({d2}))")).alias("depth"))
+    return _round_pairs(views.parts(spark, sf), f"{d2} <= {r} * {r}", f"({r} - sqrt({d2}))")
 
 
 _VEL = ("(id % 7 - 3) * 4.0", "(id % 5 - 2) * 4.0", "(id % 3 - 1) * 4.0")
