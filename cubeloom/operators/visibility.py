@@ -105,11 +105,40 @@ def frustum_view(df: DataFrame, planes, camera) -> DataFrame:
 POINT_SIZE, BLOCKED, ENDS = 1.0, 0.5, (0.1, 0.9)
 
 
-def occluders(df: DataFrame, pairs: DataFrame, radius: float = 0.1, few: bool = True) -> DataFrame:
+DIRECTIONS, WIDE = 64, 16  # cells of a unit of direction, and most of an axis that a box is looked for in
+
+
+def _toward(df: DataFrame, p: DataFrame, eye, radius: float) -> DataFrame:
+    """df crossed with segments p from one eye, less what no segment can hit: a box meets segments in the cells (x and y of
+    the unit vector) of the directions that it covers. Boxes near or around the eye, or wide, meet all."""
+    bounded = "min_x" in df.columns
+    rows = df
+    for c, a, b, e in zip(P, LOW, HIGH, eye, strict=True):
+        rows = rows.withColumn(f"_l{c}", F.expr(f"coalesce({a}, {c} - {radius!r}) - {_lit(e)}" if bounded else f"{c} - {radius!r} - {_lit(e)}"))
+        rows = rows.withColumn(f"_h{c}", F.expr(f"coalesce({b}, {c} + {radius!r}) - {_lit(e)}" if bounded else f"{c} + {radius!r} - {_lit(e)}"))
+    near, far = ({c: f"{f}" for c, f in zip(P, fs, strict=True)} for fs in ([f"pow(greatest(_l{c}, -_h{c}, 0D), 2)" for c in P], [f"pow(greatest(abs(_l{c}), abs(_h{c})), 2)" for c in P]))
+    fits = [f"{' + '.join(near.values())} > 1e-6D"]
+    for c in P[:2]:
+        rest = lambda of, c=c: " + ".join(v for k, v in of.items() if k != c)
+        part = lambda v, of: f"{v} / greatest(sqrt({v} * {v} + {of}), 1e-300D)"
+        rows = rows.withColumn(f"_u{c}", F.expr(f"CASE WHEN _l{c} >= 0 THEN {part(f'_l{c}', rest(far))} ELSE {part(f'_l{c}', rest(near))} END - 2e-6D"))
+        rows = rows.withColumn(f"_v{c}", F.expr(f"CASE WHEN _h{c} >= 0 THEN {part(f'_h{c}', rest(near))} ELSE {part(f'_h{c}', rest(far))} END + 2e-6D"))
+        fits.append(f"_v{c} - _u{c} <= {WIDE / DIRECTIONS!r}D")
+    fits = F.expr(" AND ".join(fits))
+    narrow, keys = rows.where(fits), ["_cx", "_cy"]
+    for c in P[:2]:
+        narrow = narrow.withColumn(f"_c{c}", F.explode(F.expr(f"sequence(CAST(floor(_u{c} * {DIRECTIONS}) AS BIGINT), CAST(floor(_v{c} * {DIRECTIONS}) AS BIGINT))")))
+    at = p.withColumns({f"_c{c}": F.expr(f"CAST(floor(d{c} * {DIRECTIONS}) AS BIGINT)") for c in P[:2]})
+    met = narrow.select(*keys, *df.columns).join(at, keys).drop(*keys)
+    return met.unionByName(rows.where(~fits).select(*df.columns).crossJoin(p))
+
+
+def occluders(df: DataFrame, pairs: DataFrame, radius: float = 0.1, few: bool = True, eye=None) -> DataFrame:
     """(pair, id, t, ratio, kind) of the entities on the segments of pairs (pair, ox.., tx..).
 
     ratio: half the squared angular size, at most 1, halved near the ends; kind: behind, before_observer, full, partial.
-    The observer-target segments are few (a query's parameters) and broadcast, unless few is False."""
+    The observer-target segments are few (a query's parameters) and broadcast, unless few is False. Many segments that
+    all begin at `eye` meet entities by their direction."""
     o, t = ("ox", "oy", "oz"), ("tx", "ty", "tz")
     p = pairs.withColumn("_d", F.expr(geom.dist(o, t))).where("_d > 0")
     for axis, a, b in zip("xyz", o, t, strict=True):
@@ -119,7 +148,8 @@ def occluders(df: DataFrame, pairs: DataFrame, radius: float = 0.1, few: bool =
     bounded = "min_x" in df.columns
     hit = f"CASE WHEN min_x IS NULL THEN {point} ELSE {geom.ray_box(o, d, LOW, HIGH, '_d')} END" if bounded else point
     size = f"CASE WHEN min_x IS NULL THEN {POINT_SIZE} ELSE greatest(max_x - min_x, max_y - min_y, max_z - min_z) END" if bounded else repr(POINT_SIZE)
-    rows = df.crossJoin(F.broadcast(p) if few else p).withColumn("t", F.expr(hit)).where("t IS NOT NULL").withColumn("_size", F.expr(size))
+    met = _toward(df, p, eye, radius) if eye else df.crossJoin(F.broadcast(p) if few else p)
+    rows = met.withColumn("t", F.expr(hit)).where("t IS NOT NULL").withColumn("_size", F.expr(size))
     angular = "(_size / greatest(t, 1.0))"
     ratio = f"least(1.0, 0.5 * {angular} * {angular}) * CASE WHEN t / _d < {ENDS[0]} OR t / _d > {ENDS[1]} THEN 0.5 ELSE 1.0 END"
     kind = "CASE WHEN t > _d THEN 'behind' WHEN t < 0.05 * _d THEN 'before_observer' WHEN _size / greatest(t, 1e-9) > 0.5 THEN 'full' ELSE 'partial' END"
@@ -149,7 +179,7 @@ def visible_in_cone(df: DataFrame, eye, direction, angle: float, reach: float) -
     partial) sums to less than 0.5, or is themselves alone."""
     cone = in_cone(df, eye, direction, angle, reach)
     segments = cone.where("distance >= 1e-6").select(F.col("id").alias("pair"), *(F.lit(float(v)).alias(c) for v, c in zip(eye, ("ox", "oy", "oz"), strict=True)), *(F.col(c).alias(f"t{c}") for c in P))
-    hits = occluders(df, segments, few=False).where("occlusion IN ('full', 'partial')").join(cone.select(F.col("id").alias("pair"), "distance"), "pair").where("t < distance")
+    hits = occluders(df, segments, eye=eye).where("occlusion IN ('full', 'partial')").join(cone.select(F.col("id").alias("pair"), "distance"), "pair").where("t < distance")
     sums = hits.groupBy("pair").agg(F.sum("ratio").alias("_r"), F.count("*").alias("_n"), F.max(F.col("id") == F.col("pair")).alias("_self"))
     hidden = sums.where((F.col("_r") >= BLOCKED) & ~((F.col("_n") == 1) & F.col("_self")))
     return cone.join(hidden.select(F.col("pair").alias("id")), "id", "left_anti")
