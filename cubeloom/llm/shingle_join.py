@@ -31,6 +31,7 @@ SAMPLE = 5_000  # documents whose shingles set the order
 MOST_BROADCAST = 1_000_000  # hashes of texts to verify that are broadcast
 FEW = 16  # holders of a shingle that are paired by a join
 BLOCK = 2_048  # holders of a shingle that meet in a task
+EARLY = 16  # crowded shingles of a set that tell whether a pair has met before
 _WORDS = 8  # of 64 parity bits
 _BITS = [f"b{k}" for k in range(_WORDS)]
 
@@ -68,8 +69,8 @@ def _common(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate([shingles(t) for t in bytes_of(batch.column(text_col))]))], ["token"])
 
     some = docs.select(text_col).orderBy(F.xxhash64(text_col)).limit(SAMPLE).mapInArrow(tidied(apply), "token long")
-    often = some.groupBy("token").count().where("count >= 3").orderBy(F.desc("count"), "token").limit(200_000).collect()
-    token, n = np.array([r[0] for r in often], dtype=np.int64).view(np.uint64), np.array([r[1] for r in often], dtype=np.int64)
+    often = some.groupBy("token").count().where("count >= 3").orderBy(F.desc("count"), "token").limit(200_000).toArrow()  # not as Python rows
+    token, n = often["token"].to_numpy().astype(np.int64).view(np.uint64), often["count"].to_numpy().astype(np.int64)
     order = np.argsort(token)
     return token[order], n[order]
 
@@ -125,10 +126,15 @@ def _verified(docs: DataFrame, rows: DataFrame, sets: DataFrame, pairs: DataFram
 
 
 def _crowds(held: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (k1, k2, n1, n2) of sets in different components that pass the bounds of size, position and parity bits, once
-    for each shingle of many holders that they share. Holders meet in blocks; what fails the bounds never leaves a block."""
+    """Pairs (k1, k2, n1, n2, c) of sets in different components that pass the bounds of size, position and parity bits; c:
+    the shingles of many holders that they share among their first. Holders meet in blocks, and what fails the bounds never
+    leaves a block. Nor does a pair that shares one of the EARLY first crowded shingles of both before the one they meet at:
+    it passes where it meets first, so most pairs leave once, not once a shingle."""
+    crowded = held.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "token")))["token"].alias("crowded"))
+    crowded = materialize(crowded, "crowded")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = held.join(sets.select("key", *_BITS), "key").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    rows = held.join(sets.select("key", *_BITS), "key").join(crowded.select("key", F.slice("crowded", 1, EARLY).alias("early")), "key")
+    rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
 
@@ -136,6 +142,12 @@ def _crowds(held: DataFrame, sets: DataFrame) -> DataFrame:
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         key, size, pos, c, mine = (table[x].to_numpy().astype(np.int64) for x in ("key", "size", "pos", "c", "mine"))
         words = np.stack([table[b].to_numpy() for b in _BITS]).view(np.uint64)  # bitwise_count would take off a sign
+        token = table["token"][0].as_py()
+        early = [e[: e.index(token)] if token in e else e for e in table["early"].to_pylist()]  # in the order of all sets: those before this one
+        number = {e: k for k, e in enumerate(sorted({x for e in early for x in e}))}
+        before = np.full((len(early), max(map(len, early), default=0)), -1, np.int64)
+        for k, e in enumerate(early):
+            before[k, : len(e)] = [number[x] for x in e]
         left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
         out = [np.zeros((0, 2), np.int64)]
         for at in range(0, len(left) if len(np.unique(c)) > 1 else 0, 128):
@@ -149,14 +161,20 @@ def _crowds(held: DataFrame, sets: DataFrame) -> DataFrame:
             for w in words:
                 apart += np.bitwise_count(w[x] ^ w[y])
             near = 9 * apart <= size[x] + size[y]
-            out.append(np.stack([x[near], y[near]], axis=1))
+            x, y = x[near], y[near]
+            for own in before.T:
+                new = (own[x] < 0) | (before[y] != own[x][:, None]).all(axis=1)
+                x, y = x[new], y[new]
+            out.append(np.stack([x, y], axis=1))
         pair = np.concatenate(out)
         x, y = pair[:, 0], pair[:, 1]
         swap = key[x] > key[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         return pa.table({"k1": key[x], "k2": key[y], "n1": size[x].astype(np.int32), "n2": size[y].astype(np.int32)})
 
-    return rows.groupBy("token", "low", "high").applyInArrow(meet, "k1 long, k2 long, n1 int, n2 int")
+    pairs = rows.groupBy("token", "low", "high").applyInArrow(meet, "k1 long, k2 long, n1 int, n2 int").distinct()
+    side = lambda k: crowded.select(F.col("key").alias(f"k{k}"), F.col("crowded").alias(f"t{k}"))
+    return pairs.join(side(1), "k1").join(side(2), "k2").select("k1", "k2", "n1", "n2", F.size(F.array_intersect("t1", "t2")).cast("long").alias("c"))
 
 
 def near_copies(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -195,7 +213,7 @@ def near_copies(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFra
     rare = now.where(F.col("n") <= FEW)
     a, b = (rare.select("token", F.col("key").alias(f"k{k}"), F.col("size").alias(f"n{k}"), F.col("c").alias(f"c{k}")) for k in (1, 2))
     met = a.join(b, "token").where("k1 < k2 AND c1 <> c2 AND 5 * n1 >= 4 * n2 AND 5 * n2 >= 4 * n1").groupBy("k1", "k2", "n1", "n2").agg(F.count("*").alias("c"))
-    met = met.unionByName(_crowds(now.where(F.col("n") > FEW), sets).groupBy("k1", "k2", "n1", "n2").agg(F.count("*").alias("c")))
+    met = met.unionByName(_crowds(now.where(F.col("n") > FEW), sets))
     met = met.groupBy("k1", "k2", "n1", "n2").agg(F.sum("c").alias("c")).where(bound).select("k1", "k2", "n1", "n2")
     found = _verified(docs, rows, sets, met, text_col)
     last = components(edges.unionByName(found.join(label(1), "k1").join(label(2), "k2").select("u", "v")))

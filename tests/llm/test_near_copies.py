@@ -76,3 +76,16 @@ def test_near_copies_are_complete(spark, sf, which, monkeypatch):
 
 def test_near_copies_of_an_empty_table(spark):
     assert shingle_join.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pairs_of_crowds_leave_once(spark, monkeypatch):
+    """Sets that share 40 crowded shingles meet at each of them, but leave the blocks once a pair; c counts them all."""
+    rows = [(t, key, 200, t, 20, key) for t in range(40) for key in range(20) if (t, key) != (0, 0)]
+    held = spark.createDataFrame(rows, "token long, key long, size int, pos int, n long, c long")
+    sets = spark.createDataFrame([(key, *[0] * 8) for key in range(20)], "key long, " + ", ".join(f"{b} long" for b in shingle_join._BITS))
+    left = []
+    distinct = type(held).distinct
+    monkeypatch.setattr(type(held), "distinct", lambda df: left.append(df) or distinct(df))
+    got = {(r["k1"], r["k2"]): r["c"] for r in shingle_join._crowds(held, sets).collect()}
+    assert got == {(a, b): 40 - (a == 0) for a in range(20) for b in range(a + 1, 20)}
+    assert left[0].count() == len(got)
