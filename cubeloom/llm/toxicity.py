@@ -7,7 +7,7 @@ the weights of a text's distinct features. How rare a feature's split may be by
 weights are held down are chosen by cross-validation inside the training rows.
 
 The sample to learn from has at most `max_rows` texts and `max_bytes` bytes. Features are made on the executors; counts
-and the few features in use come to the driver.
+meet in one task there, the few features in use in another. Only chosen features and weights come to the driver.
 
 Nulls: a null text scores as an empty one. Labels other than 0 and 1 and labels of null ids are not used, nor are those
 of ids that are labelled both. Of rows with one id the least text is learned from. Without labels of both kinds every
@@ -145,27 +145,35 @@ def _solve(start: np.ndarray, column: np.ndarray, ratio: np.ndarray, y: np.ndarr
     return x[:-1], float(x[-1])
 
 
-def _fitted(names: np.ndarray, counts: np.ndarray, totals: np.ndarray, folds: np.ndarray, y: np.ndarray, rows_of, most_features: int) -> LinearModel:
-    """names: features of two texts or more, in order; counts: see _counted, of these; totals: sums over all features.
-    rows_of(used): (start, place in used) of each text's features, in the order of y."""
-    n = np.array([[np.sum((folds == f) & (y == k)) for k in (0, 1)] for f in range(FOLDS)])
+Chosen = dict[tuple[int, float], tuple[np.ndarray, np.ndarray]]  # by fold left out (-1: none) and least chi square: features in use, ratios
+
+
+def _chosen(names: np.ndarray, counts: np.ndarray, totals: np.ndarray, n: np.ndarray, most_features: int) -> Chosen:
+    """What is tried in cross-validation. names: features of two texts or more, in order; counts: see _counted, of these;
+    totals: sums over all features; n: texts by fold and label. Empty: there is nothing to learn."""
+    if not n.sum(axis=0).all():
+        return {}
     by_label, totals = counts.reshape(FOLDS, 2, -1), totals.reshape(FOLDS, 2)
-    rate = (y.sum() + 1) / (len(y) + 2)
-    plain = LinearModel(np.zeros(1 << BITS, dtype=np.float32), float(np.log(rate / (1 - rate))))
-    if not len(y) or y.min() == y.max():
-        return plain
     whole, total = by_label.sum(axis=0), totals.sum(axis=0)
-    choices = {c: _choice(whole, total, n.sum(axis=0), c, most_features) for c in CHANCE}
-    choices = {c: found for c, found in choices.items() if len(found[0])}
-    if not choices:
-        return plain
-    tried = {}
-    for f in range(FOLDS):
+    found = {(-1, c): _choice(whole, total, n.sum(axis=0), c, most_features) for c in CHANCE}
+    found = {key: x for key, x in found.items() if len(x[0])}
+    for f in range(FOLDS) if found else ():
         if (n.sum(axis=0) - n[f]).min() and n[f].sum():
-            for c in choices:
-                tried[f, c] = _choice(whole - by_label[f], total - totals[f], n.sum(axis=0) - n[f], c, most_features)
-    union = np.unique(np.concatenate([u for u, _ in [*choices.values(), *tried.values()]]))
-    start, column = rows_of(names[union])
+            for _, c in [key for key in found if key[0] < 0]:
+                found[f, c] = _choice(whole - by_label[f], total - totals[f], n.sum(axis=0) - n[f], c, most_features)
+    return {key: (names[used], ratio) for key, (used, ratio) in found.items()}
+
+
+def _union(chosen: Chosen) -> np.ndarray:
+    return np.unique(np.concatenate([used for used, _ in chosen.values()]))
+
+
+def _weighed(chosen: Chosen, start: np.ndarray, column: np.ndarray, folds: np.ndarray, y: np.ndarray):
+    """Features in use, their weights, and the bias. Text i has the features column[start[i]:start[i + 1]] as places in
+    _union(chosen)."""
+    union = _union(chosen)
+    choices = {c: x for (f, c), x in chosen.items() if f < 0}
+    tried = {key: x for key, x in chosen.items() if key[0] >= 0}
     doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(start))
 
     def part(rows, used):
@@ -187,9 +195,21 @@ def _fitted(names: np.ndarray, counts: np.ndarray, totals: np.ndarray, folds: np
     chance, ridge = min(loss, key=lambda k: (loss[k], -k[1], -k[0]))
     used, ratio = choices[chance]
     w, b = _solve(*part(np.ones(len(y), bool), used), ratio, y, ridge)
+    return used, w * ratio, b
+
+
+def _model(n: np.ndarray, found=None) -> LinearModel:
+    """found: see _weighed; without it the (smoothed) share of toxic labels. n: texts by fold and label."""
     weights = np.zeros(1 << BITS, dtype=np.float32)
-    weights[names[used]] = w * ratio
-    return LinearModel(weights, b)
+    if found is None:
+        rate = (n[:, 1].sum() + 1) / (n.sum() + 2)
+        return LinearModel(weights, float(np.log(rate / (1 - rate))))
+    weights[found[0]] = found[1]
+    return LinearModel(weights, found[2])
+
+
+def _by_fold(folds: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bincount(2 * folds + y, minlength=2 * FOLDS).reshape(FOLDS, 2)
 
 
 def _sparse(texts: list[bytes], union: np.ndarray):
@@ -214,8 +234,9 @@ def train(texts: list[bytes], labels: list[int], most_features: int = 20_000) ->
     y = np.asarray(labels, dtype=np.int64)
     folds = np.array([zlib.crc32(t) % FOLDS for t in texts], dtype=np.int64)
     counts = _counted(texts, y)
-    names = np.flatnonzero(counts.sum(axis=0) > 1)
-    return _fitted(names, counts[:, names], counts.sum(axis=1), folds, y, lambda union: _joined(_sparse(texts, union)), most_features)
+    names, n = np.flatnonzero(counts.sum(axis=0) > 1), _by_fold(folds, y)
+    chosen = _chosen(names, counts[:, names], counts.sum(axis=1), n, most_features)
+    return _model(n, _weighed(chosen, *_joined(_sparse(texts, _union(chosen))), folds, y) if chosen else None)
 
 
 def score_texts(model: LinearModel, texts: list[bytes]) -> np.ndarray:
@@ -249,34 +270,60 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_co
             total[at] = total[at] + part if at in total else part
         for at, part in total.items():  # feature -1: the totals
             seen = np.flatnonzero(part.sum(axis=0) > 1)
-            columns = (np.append(t.sum(dtype=np.int64), t[seen]).astype(np.int32) for t in part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at + seen), pa.int32()), *map(pa.array, columns)], names)
+            rows = np.stack([np.append(-1, at + seen), *(np.append(t.sum(dtype=np.int64), t[seen]) for t in part)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(rows.tobytes())], pa.binary())], ["part"])
 
-    names = ["feature", *(f"n{k}" for k in range(2 * FOLDS))]
     # ranges of counts travel as one value each: an aggregation by feature would hold all of them again, in every task
     made = sample.mapInArrow(tidied(count), "at int, counts binary").repartition((1 << BITS) // RANGE, "at")
-    summed = made.mapInArrow(tidied(add), ", ".join(f"{n} int" for n in names)).toArrow().sort_by("feature")
-    feature = summed["feature"].to_numpy()
-    counts = np.stack([summed[f"n{k}"].to_numpy() for k in range(2 * FOLDS)])
-    totals, counts, feature = counts[:, feature < 0].sum(axis=1, dtype=np.int64), counts[:, feature >= 0], feature[feature >= 0]
-    del summed
-    fold = F.crc32("_text") % FOLDS
-    head = sample.select("_id", "_label", fold.cast("int").alias("_fold")).toArrow().sort_by("_id")
-
-    def rows_of(union: np.ndarray):
-        def sparse(batches):
-            for batch in small(batches):
-                made = _sparse(bytes_of(batch.column("_text")), union)
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([m.tobytes() for m in made], pa.binary())], ["_id", "_at"])
-
-        kind = sample.schema["_id"].dataType.simpleString()
-        got = sample.mapInArrow(tidied(sparse), f"_id {kind}, _at binary").toArrow().sort_by("_id")
-        return _joined([np.frombuffer(x, np.int32) for x in got["_at"].to_pylist()])
-
-    model = _fitted(feature, counts, totals, head["_fold"].to_numpy().astype(np.int64), head["_label"].to_numpy().astype(np.int64), rows_of, most_features)
+    summed = made.mapInArrow(tidied(add), "part binary")
+    head = sample.select("_label", (F.crc32("_text") % FOLDS).cast("int").alias("_fold")).groupBy("_label", "_fold").count().collect()
+    n = np.zeros((FOLDS, 2), np.int64)
+    for label, fold, texts in head:
+        n[fold, label] = texts
+
+    def choose(batches):  # in one task, as the counts are too many for the driver
+        parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int32).reshape(1 + 2 * FOLDS, -1) for b in batches for x in b.column(0).to_pylist()]
+        if parts:
+            parts.sort(key=lambda p: p[0, -1])  # ranges don't overlap; one without features has totals alone
+            totals = sum(p[1:, 0].astype(np.int64) for p in parts)
+            both = np.concatenate([p[:, 1:] for p in parts], axis=1)
+            del parts
+            found = _chosen(both[0], both[1:], totals, n, most_features)
+            for (fold, chance), (used, ratio) in found.items():
+                row = ([fold], pa.int32()), ([chance], pa.float64()), ([used.astype(np.int32).tobytes()], pa.binary()), ([ratio.tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(*x) for x in row], ["fold", "chance", "used", "ratio"])
+
+    rows = summed.repartition(1).mapInArrow(tidied(choose), "fold int, chance double, used binary, ratio binary").collect()
+    rows = sorted(rows, key=lambda r: (r["fold"], r["chance"]))
+    chosen = {(r["fold"], r["chance"]): (np.frombuffer(r["used"], np.int32), np.frombuffer(r["ratio"])) for r in rows}
+    if not chosen:
+        return _model(n)
+    union = _union(chosen)
+
+    def sparse(batches):
+        for batch in small(batches):
+            texts = bytes_of(batch.column("_text"))
+            made, folds = _sparse(texts, union), [zlib.crc32(t) % FOLDS for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array(folds, pa.int32()), pa.array([m.tobytes() for m in made], pa.binary())], ["_id", "_label", "_fold", "_at"])
+
+    def weigh(batches):
+        held = [b for b in batches if b.num_rows]
+        table = pa.Table.from_batches(held).sort_by("_id") if held else None
+        del held
+        if table is not None:
+            folds, y = (table[c].to_numpy().astype(np.int64) for c in ("_fold", "_label"))
+            used, weight, bias = _weighed(chosen, *_joined([np.frombuffer(x.as_buffer(), np.int32) for x in table["_at"]]), folds, y)
+            row = [used.astype(np.int32).tobytes()], [weight.tobytes()], [bias]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["used", "weight", "bias"])
+
+    kind = sample.schema["_id"].dataType.simpleString()
+    gathered = sample.mapInArrow(tidied(sparse), f"_id {kind}, _label int, _fold int, _at binary").repartition(1)
+    used, weight, bias = gathered.mapInArrow(tidied(weigh), "used binary, weight binary, bias double").first()
+    model = _model(n, (np.frombuffer(used, np.int32), np.frombuffer(weight), bias))
     trim()
     return model
 
+
 def score_toxicity(docs: DataFrame, model: LinearModel, *, text_col="text", score_col="score") -> DataFrame:
     """docs with a column score_col: 0 to 1, higher where toxic is likelier. One pass, no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
