@@ -33,6 +33,7 @@ _LOW = (1 << 40) - 1
 _SLICE = 1 << 18
 _WHOLE = (1 << 32) - 1  # as a range's end: up to the string's last window
 _SOME = 5_000  # strings hashed at a time
+_CUT = 4_000  # strings cut by a longer seed at a time
 SHARE = 8 << 20  # bytes of text a task holds, about
 BLOCK = 1 << 21  # bytes of strings whose equal windows are found together, about
 MOST = 1 << 17  # bytes of strings of one minimiser before it is cut again
@@ -197,11 +198,17 @@ def _join_key(key: np.ndarray, string: np.ndarray) -> np.ndarray:
     return mix64(key) ^ string
 
 
-def least_documents(keys: list, strings: list[bytes], firsts: list, units: Callable, width: int, seed: int, group_windows: Callable, block: int = BLOCK, most: int = MOST):
+def least_documents(keys: list, strings: list[bytes], firsts: list, units: Callable, width: int, seed: int, group_windows: Callable, block: int = BLOCK, most: int = MOST, finer: int | None = None):
     """(k, least): of each string the least document of each of its windows, over all strings of its key; None where the
     key has no other string. Strings stand by key, each once a key; keys go together into blocks of about `block`
     bytes, of which group_windows finds the equal windows. A key whose strings alone are over `most` is cut again by a longer
-    seed: equal windows have equal minimisers of that too; seeds as long as windows leave one string a key."""
+    seed: equal windows have equal minimisers of that too; seeds as long as windows leave one string a key. With `finer` all
+    keys of several strings are cut once by seeds of that length, so that stretches no other string can share stay out."""
+    def settled(those):
+        if finer and seed < finer:
+            return _finer(those, keys, strings, firsts, units, width, finer, group_windows, block, most)
+        return _settled(those, keys, strings, firsts, units, width, group_windows)
+
     edge = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)] if keys else [0]
     waiting: list[int] = []
     size = 0
@@ -215,10 +222,10 @@ def least_documents(keys: list, strings: list[bytes], firsts: list, units: Calla
             waiting += range(a, z)
             size += bytes_here
             if size >= block:
-                yield from _settled(waiting, keys, strings, firsts, units, width, group_windows)
+                yield from settled(waiting)
                 waiting, size = [], 0
     if waiting:
-        yield from _settled(waiting, keys, strings, firsts, units, width, group_windows)
+        yield from settled(waiting)
 
 
 def _settled(those, keys, strings, firsts, units, width, group_windows):
@@ -236,6 +243,40 @@ def _settled(those, keys, strings, firsts, units, width, group_windows):
         yield k, lowest[same[a:z]]
 
 
+def _finer(those, keys, strings, firsts, units, width, longer, group_windows, block, most):
+    least, met = {}, []  # of each string; (class, string, owner, window of the owner)
+    for at in range(0, len(those), _CUT):
+        some = those[at : at + _CUT]
+        u = units([strings[k] for k in some])
+        r = runs_of(u, width, longer, 1, salt=np.uint64(0x9E6C63D0676A9A99))
+        units_of = np.bincount(u.text, minlength=len(some))
+        base, raw, of = np.cumsum(units_of) - units_of, u.data.tobytes(), u.text[r.first]
+        least |= {k: np.full(n - width + 1, firsts[k], np.int64) for k, n in zip(some, units_of.tolist(), strict=True)}
+        met.append((mix64(np.array([keys[k] for k in some], np.uint64)[of]) ^ r.key, np.array(some)[of], r.first - base[of], r.last - base[of] + 1, r.start, r.end, raw))
+    key = np.concatenate([m[0] for m in met])
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, np.int64)
+    several = np.zeros(len(key), bool)  # a minimiser that is met once has windows like no others
+    several[order] = np.repeat(np.diff(np.append(starts, len(key))) > 1, np.diff(np.append(starts, len(key))))
+    found: dict[tuple[int, bytes], int] = {}  # (class, string): the least document
+    parts, at = [], 0
+    for key, owner, first, stop, start, end, raw in met:
+        use = np.flatnonzero(several[at : at + len(key)])
+        at += len(key)
+        for c, k, w, x, a, z in zip(*(v[use].tolist() for v in (key, owner, first, stop, start, end)), strict=True):
+            name = (c, raw[a:z])
+            found[name] = min(firsts[k], found.get(name, firsts[k]))
+            parts.append((name, k, w, x))
+    del met
+    names = sorted(found)
+    place = {name: i for i, name in enumerate(names)}
+    decided = dict(least_documents([n[0] for n in names], [n[1] for n in names], [found[n] for n in names], units, width, longer, group_windows, block, most))
+    for name, k, w, x in parts:
+        got = decided[place[name]]
+        least[k][w:x] = found[name] if got is None else got
+    yield from least.items()
+
+
 def _cut_again(those, strings, firsts, units, width, seed, group_windows, block, most):
     longer = min(width, seed + max(1, (width - seed + 1) // 2))
     found: dict[tuple[int, bytes], int] = {}  # (minimiser, string): the least document
@@ -267,12 +308,13 @@ def _cut_again(those, strings, firsts, units, width, seed, group_windows, block,
         yield k, least[k]
 
 
-def shared_windows(docs: DataFrame, *, units: Callable, width: int, seed: int, group_windows: Callable, finish: Callable, schema: str, id_col: str, text_col: str) -> DataFrame:
+def shared_windows(docs: DataFrame, *, units: Callable, width: int, seed: int, group_windows: Callable, finish: Callable, schema: str, id_col: str, text_col: str, finer: int | None = None) -> DataFrame:
     """Rows that `finish(ids, real, texts, units, covered)` makes of each slice of texts: a RecordBatch of `schema`.
 
     covered: of each unit, whether a window over it also starts in a document with a smaller id. Rows with a null id
     neither cover nor are covered. Rows of one id are one document. group_windows(units, first units of the windows, the
-    minimiser's number of each string): a class number for each window, equal where windows of a minimiser are."""
+    minimiser's number of each string): a class number for each window, equal where windows of a minimiser are. finer: see
+    least_documents."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
@@ -366,7 +408,7 @@ def shared_windows(docs: DataFrame, *, units: Callable, width: int, seed: int, g
             firsts[-1] = min(firsts[-1], e[2])
             owner.append(len(strings) - 1)
         ranges: dict[int, list] = {}  # of each string: ranges of windows, each with the least document
-        for k, least in least_documents(keys, strings, firsts, units, width, seed, group_windows):
+        for k, least in least_documents(keys, strings, firsts, units, width, seed, group_windows, finer=finer):
             if least is None:
                 ranges[k] = [(0, _WHOLE, firsts[k])]
             else:
