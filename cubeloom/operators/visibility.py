@@ -105,32 +105,37 @@ def frustum_view(df: DataFrame, planes, camera) -> DataFrame:
 POINT_SIZE, BLOCKED, ENDS = 1.0, 0.5, (0.1, 0.9)
 
 
-DIRECTIONS, WIDE = 64, 16  # cells of a unit of direction, and most of an axis that a box is looked for in
+DIRECTIONS, WIDE = (256, 64, 16, 4), 4  # cells of a unit of direction, and most of an axis that a box is looked for in
+ALL = "sequence(-2L, 1L)"  # the cells of a whole axis where a unit is one cell
 
 
 def _toward(df: DataFrame, p: DataFrame, eye, radius: float) -> DataFrame:
-    """df crossed with segments p from one eye, less what no segment can hit: a box meets segments in the cells (x and y of
-    the unit vector) of the directions that it covers. Boxes near or around the eye, or wide, meet all."""
+    """df joined with segments p from one eye, less what no segment can hit: a box meets segments in the cells (x and y of
+    the unit vector) of the directions that it covers. Cells are as fine as the box is narrow; a box near or around the eye
+    covers all of the coarsest. A box with a bound that is not known meets none."""
     bounded = "min_x" in df.columns
     rows = df
     for c, a, b, e in zip(P, LOW, HIGH, eye, strict=True):
         rows = rows.withColumn(f"_l{c}", F.expr(f"coalesce({a}, {c} - {radius!r}) - {_lit(e)}" if bounded else f"{c} - {radius!r} - {_lit(e)}"))
         rows = rows.withColumn(f"_h{c}", F.expr(f"coalesce({b}, {c} + {radius!r}) - {_lit(e)}" if bounded else f"{c} + {radius!r} - {_lit(e)}"))
+    rows = rows.where(" AND ".join(f"_l{c} IS NOT NULL AND _h{c} IS NOT NULL" for c in P))
     near, far = ({c: f"{f}" for c, f in zip(P, fs, strict=True)} for fs in ([f"pow(greatest(_l{c}, -_h{c}, 0D), 2)" for c in P], [f"pow(greatest(abs(_l{c}), abs(_h{c})), 2)" for c in P]))
-    fits = [f"{' + '.join(near.values())} > 1e-6D"]
     for c in P[:2]:
         rest = lambda of, c=c: " + ".join(v for k, v in of.items() if k != c)
         part = lambda v, of: f"{v} / greatest(sqrt({v} * {v} + {of}), 1e-300D)"
         rows = rows.withColumn(f"_u{c}", F.expr(f"CASE WHEN _l{c} >= 0 THEN {part(f'_l{c}', rest(far))} ELSE {part(f'_l{c}', rest(near))} END - 2e-6D"))
         rows = rows.withColumn(f"_v{c}", F.expr(f"CASE WHEN _h{c} >= 0 THEN {part(f'_h{c}', rest(near))} ELSE {part(f'_h{c}', rest(far))} END + 2e-6D"))
-        fits.append(f"_v{c} - _u{c} <= {WIDE / DIRECTIONS!r}D")
-    fits = F.expr(" AND ".join(fits))
-    narrow, keys = rows.where(fits), ["_cx", "_cy"]
+    wide = F.expr(f"CASE WHEN {' + '.join(near.values())} > 1e-6D THEN greatest({', '.join(f'_v{c} - _u{c}' for c in P[:2])}) ELSE 9D END")
+    fine = " ".join(f"WHEN _wide <= {WIDE / n!r}D THEN {n}" for n in DIRECTIONS)
+    rows = rows.withColumn("_wide", wide).withColumn("_n", F.expr(f"CASE {fine} ELSE 1 END"))
+    keys = ["_n", "_cx", "_cy"]
     for c in P[:2]:
-        narrow = narrow.withColumn(f"_c{c}", F.explode(F.expr(f"sequence(CAST(floor(_u{c} * {DIRECTIONS}) AS BIGINT), CAST(floor(_v{c} * {DIRECTIONS}) AS BIGINT))")))
-    at = p.withColumns({f"_c{c}": F.expr(f"CAST(floor(d{c} * {DIRECTIONS}) AS BIGINT)") for c in P[:2]})
-    met = narrow.select(*keys, *df.columns).join(at, keys).drop(*keys)
-    return met.unionByName(rows.where(~fits).select(*df.columns).crossJoin(p))
+        rows = rows.withColumn(f"_c{c}", F.explode(F.expr(f"CASE WHEN _n = 1 THEN {ALL} ELSE sequence(CAST(floor(_u{c} * _n) AS BIGINT), CAST(floor(_v{c} * _n) AS BIGINT)) END")))
+    at = p.withColumn("_n", F.explode(F.array(*map(F.lit, (*DIRECTIONS, 1))))).withColumns({f"_c{c}": F.expr(f"CAST(floor(d{c} * _n) AS BIGINT)") for c in P[:2]})
+    # a given number of tasks: by their bytes few rows go to few, whose meetings are many times as many
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.select(*keys, *df.columns).repartition(tasks, *keys).join(at.repartition(tasks, *keys), keys).drop(*keys)
 
 
 def occluders(df: DataFrame, pairs: DataFrame, radius: float = 0.1, few: bool = True, eye=None) -> DataFrame:
@@ -177,12 +182,18 @@ def in_cone(df: DataFrame, eye, direction, angle: float, reach: float) -> DataFr
 def visible_in_cone(df: DataFrame, eye, direction, angle: float, reach: float) -> DataFrame:
     """Entities of in_cone that the eye sees: what lies on the line to their position (themselves included, full or
     partial) sums to less than 0.5, or is themselves alone."""
+    # What stands at one place has one line, and boxes alike are one with their number and the least of their ids.
+    bounds = [*P, *LOW, *HIGH] if "min_x" in df.columns else [*P]
+    things = df.groupBy(*bounds).agg(F.struct(F.min("id").alias("one"), F.count("*").alias("n")).alias("id"))
     cone = in_cone(df, eye, direction, angle, reach)
-    segments = cone.where("distance >= 1e-6").select(F.col("id").alias("pair"), *(F.lit(float(v)).alias(c) for v, c in zip(eye, ("ox", "oy", "oz"), strict=True)), *(F.col(c).alias(f"t{c}") for c in P))
-    hits = occluders(df, segments, eye=eye).where("occlusion IN ('full', 'partial')").join(cone.select(F.col("id").alias("pair"), "distance"), "pair").where("t < distance")
-    sums = hits.groupBy("pair").agg(F.sum("ratio").alias("_r"), F.count("*").alias("_n"), F.max(F.col("id") == F.col("pair")).alias("_self"))
-    hidden = sums.where((F.col("_r") >= BLOCKED) & ~((F.col("_n") == 1) & F.col("_self")))
-    return cone.join(hidden.select(F.col("pair").alias("id")), "id", "left_anti")
+    places = cone.where("distance >= 1e-6").select(*P).distinct()
+    segments = places.select(F.struct(*P).alias("pair"), *(F.lit(float(v)).alias(c) for v, c in zip(eye, ("ox", "oy", "oz"), strict=True)), *(F.col(c).alias(f"t{c}") for c in P))
+    distance = F.expr(geom.dist(tuple(f"pair.{c}" for c in P), tuple(map(_lit, eye))))
+    hits = occluders(things, segments, eye=eye).where("occlusion IN ('full', 'partial')").where(F.col("t") < distance)
+    sums = hits.groupBy("pair").agg(F.sum(F.col("ratio") * F.col("id.n")).alias("_r"), F.sum("id.n").alias("_n"), F.min("id.one").alias("_one"))
+    hidden = sums.where(F.col("_r") >= BLOCKED).select(*(F.col(f"pair.{c}").alias(c) for c in P), F.when(F.col("_n") == 1, F.col("_one")).alias("_only"), F.lit(True).alias("_hidden"))
+    met = cone.join(hidden, list(P), "left")
+    return met.where(F.col("_hidden").isNull() | F.coalesce(F.col("_only") == F.col("id"), F.lit(False))).select(*cone.columns)
 
 
 def vantage_scores(df: DataFrame, target, points: DataFrame) -> DataFrame:
